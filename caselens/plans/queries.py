@@ -9,9 +9,21 @@ from pyspark.sql import functions as F
 
 from caselens.functions import rules
 from caselens.functions.exprs import round_even, round_up
-from caselens.operators import benchmark, profile, sampling
+from caselens.operators import (
+    benchmark,
+    costs,
+    events,
+    findings,
+    label_parse,
+    labels,
+    profile,
+    sampling,
+    textmodel,
+    themes,
+    validation,
+)
 from caselens.operators.keywords import keyword_themes
-from caselens.sources import exports, standin
+from caselens.sources import exports, standin, tables as scans
 from caselens.sources.standin import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,3 +221,333 @@ def request_packs(t: Tables) -> DataFrame:
     packs = sampling.request_packs(t.sample)
     joined = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("ids", "truncated_ids")}
     return packs.withColumns(joined)
+
+
+@query
+def balanced_draw(t: Tables) -> DataFrame:
+    return sampling.balanced_draw(t.labelled, n=standin.REVIEW_ROWS).select("complaint_id", "primary_theme")
+
+
+# --- labels ------------------------------------------------------------------------------
+def as_text(df: DataFrame, *arrays: str) -> DataFrame:
+    return df.withColumns({c: F.array_join(c, ";") for c in arrays})
+
+
+@query
+def label_parse_rows(t: Tables) -> DataFrame:
+    parsed = label_parse.parse_labels(t.raw_labels(), "raw")
+    return as_text(parsed.drop("raw"), "named_benefits")
+
+
+REGISTRY["label_parse"] = REGISTRY.pop("label_parse_rows")
+
+
+@query
+def label_pack_parse(t: Tables) -> DataFrame:
+    return as_text(label_parse.parse_packs(t.raw_packs()), "named_benefits")
+
+
+@query
+def current_labels(t: Tables) -> DataFrame:
+    return as_text(labels.current_labels(t.request_ledger(), standin.PROMPT_VERSION), "named_benefits")
+
+
+@query
+def pending_rows(t: Tables) -> DataFrame:
+    return labels.pending_rows(t.sample, t.request_ledger(), "model_0", standin.PROMPT_VERSION)
+
+
+@query
+def labelled_sample(t: Tables) -> DataFrame:
+    return as_text(rounded(t.labelled, 9, "weight"), "named_benefits")
+
+
+@query
+def labelled_sample_from_model(t: Tables) -> DataFrame:
+    few = labels.current_labels(t.request_ledger(), standin.PROMPT_VERSION)
+    sample = t.eligible().withColumns({"stratum_size": F.lit(1), "weight": F.lit(1.0)})
+    out = labels.labelled_sample(sample, few, t.model_labels())
+    return as_text(out.drop("narrative"), "named_benefits")
+
+
+@query
+def spend_rollup(t: Tables) -> DataFrame:
+    return rounded(costs.spend_rollup(t.request_ledger(), t.prices()), 6, "cost_usd")
+
+
+@query
+def measured_cost(t: Tables) -> DataFrame:
+    per_row = costs.measured_cost(t.request_ledger(), t.prices(), standin.PROMPT_VERSION)
+    return rounded(per_row, 9, "cost_per_row_usd")
+
+
+@query
+def cost_projection(t: Tables) -> DataFrame:
+    return costs.cost_projection(
+        t.sample, t.request_ledger(), t.prices(), standin.SYSTEM_TOKENS, standin.PROMPT_VERSION
+    )
+
+
+@query
+def ledger_status(t: Tables) -> DataFrame:
+    return costs.ledger_status(t.request_ledger())
+
+
+# --- themes ------------------------------------------------------------------------------
+@query
+def theme_mix(t: Tables) -> DataFrame:
+    return themes.theme_mix(t.labelled)
+
+
+@query
+def theme_vs_peers(t: Tables) -> DataFrame:
+    return themes.theme_vs_peers(t.labelled, standin.FOCUS)
+
+
+@query
+def theme_relief(t: Tables) -> DataFrame:
+    return themes.theme_relief(t.labelled, standin.FOCUS)
+
+
+@query
+def theme_sentiment(t: Tables) -> DataFrame:
+    return themes.theme_sentiment(t.labelled, standin.FOCUS)
+
+
+@query
+def top_named(t: Tables) -> DataFrame:
+    return themes.top_named(t.labelled, "named_benefits", standin.FOCUS)
+
+
+@query
+def top_products(t: Tables) -> DataFrame:
+    return themes.top_named(t.labelled, "card_product", standin.FOCUS)
+
+
+@query
+def theme_summary(t: Tables) -> DataFrame:
+    return themes.theme_summary(t.labelled)
+
+
+@query
+def example_quotes(t: Tables) -> DataFrame:
+    return themes.example_quotes(t.all_labelled(), ISSUERS)
+
+
+@query
+def weighted_shares(t: Tables) -> DataFrame:
+    shares = themes.weighted_shares(t.labelled, ["issuer", "quarter"], "primary_theme")
+    return rounded(shares, 6, "weight", "share")
+
+
+@query
+def timely_rate(t: Tables) -> DataFrame:
+    return rounded(themes.timely_rate(t.complaints, ["issuer"]), 6, "rate")
+
+
+# --- event study -------------------------------------------------------------------------
+@query
+def event_panels(t: Tables) -> DataFrame:
+    return t.panels
+
+
+@query
+def event_did(t: Tables) -> DataFrame:
+    return t.study.drop("placebo_did_min_pts", "placebo_did_max_pts", "outside_placebo_range")
+
+
+@query
+def event_placebo(t: Tables) -> DataFrame:
+    return t.study.select(
+        "event", "lens", "metric", "window_months", "placebo_did_min_pts", "placebo_did_max_pts",
+        "outside_placebo_range",
+    )
+
+
+@query
+def event_monthly(t: Tables) -> DataFrame:
+    return events.event_monthly(t.panels, standin.EVENTS, standin.CONTROLS)
+
+
+@query
+def event_named_product(t: Tables) -> DataFrame:
+    return events.event_named_product(t.mentions, standin.EVENTS)
+
+
+@query
+def event_named_monthly(t: Tables) -> DataFrame:
+    return events.named_product_monthly(t.mentions, standin.EVENTS)
+
+
+# --- validation --------------------------------------------------------------------------
+@query
+def validation_set(t: Tables) -> DataFrame:
+    return validation.validation_set(t.labelled, standin.REVIEW_ROWS)
+
+
+@query
+def validation_design(t: Tables) -> DataFrame:
+    vset = validation.validation_set(t.labelled, standin.REVIEW_ROWS)
+    return rounded(validation.validation_design(t.labelled, vset), 6, "population_share")
+
+
+@query
+def resolved_reviews(t: Tables) -> DataFrame:
+    return validation.resolve_reviews(t.reviews())
+
+
+@query
+def agreement(t: Tables) -> DataFrame:
+    scored = validation.agreement(validation.resolve_reviews(t.reviews()))
+    return rounded(scored, 6, "agreement", "cohen_kappa")
+
+
+@query
+def per_class_scores(t: Tables) -> DataFrame:
+    scores = validation.per_class_scores(validation.resolve_reviews(t.reviews()))
+    return rounded(scores, 6, "precision", "recall", "f1")
+
+
+@query
+def agreement_reweighted(t: Tables) -> DataFrame:
+    vset = validation.validation_set(t.labelled, standin.REVIEW_ROWS)
+    scores = validation.per_class_scores(validation.resolve_reviews(t.reviews()))
+    design = validation.validation_design(t.labelled, vset)
+    return rounded(validation.agreement_reweighted(scores, design), 6, "value", "covers_share")
+
+
+@query
+def confusion(t: Tables) -> DataFrame:
+    return validation.confusion(validation.resolve_reviews(t.reviews()))
+
+
+@query
+def sentiment_agreement(t: Tables) -> DataFrame:
+    return rounded(validation.sentiment_agreement(validation.resolve_reviews(t.reviews())), 6, "agreement")
+
+
+# --- text model --------------------------------------------------------------------------
+@query
+def theme_model(t: Tables) -> DataFrame:
+    corpus = t.eligible().select("complaint_id", "issuer", "date_received", "narrative")
+    return rounded(textmodel.theme_model(corpus, seed_cap=standin.SEED_CAP), 6, "confidence")
+
+
+@query
+def theme_model_distilled(t: Tables) -> DataFrame:
+    corpus = t.read("documents").select(F.col("doc_id").alias("complaint_id"), F.col("text").alias("narrative"))
+    known = t.read("documents").select(
+        F.col("doc_id").alias("complaint_id"), F.col("lang").alias("primary_theme")
+    )
+    return rounded(textmodel.theme_model(corpus, known, min_labels=100), 6, "confidence")
+
+
+@query
+def theme_model_cv(t: Tables) -> DataFrame:
+    return textmodel.theme_model_cv(t.read("documents"), "doc_id", "text", "lang")
+
+
+@query
+def theme_model_share(t: Tables) -> DataFrame:
+    return textmodel.theme_model_share(t.model_labels())
+
+
+# --- findings ----------------------------------------------------------------------------
+def _mix(t: Tables) -> DataFrame:
+    return benchmark.sub_issue_mix(t.complaints, ISSUERS)
+
+
+@query
+def facts_data(t: Tables) -> DataFrame:
+    return findings.facts_data(t.complaints, t.cards, standin.FOCUS)
+
+
+@query
+def facts_sub_issue(t: Tables) -> DataFrame:
+    relief = benchmark.relief_by_sub_issue(t.complaints, standin.FOCUS, standin.MIN_FOCUS)
+    evidence = benchmark.keyword_evidence(t.complaints, standin.FOCUS)
+    return findings.facts_sub_issue(_mix(t), relief, evidence, standin.FOCUS)
+
+
+@query
+def facts_response(t: Tables) -> DataFrame:
+    outcomes = benchmark.response_outcomes(t.complaints)
+    return findings.facts_response(outcomes, benchmark.timely_response(t.complaints), standin.FOCUS)
+
+
+@query
+def facts_volume(t: Tables) -> DataFrame:
+    rates = benchmark.rate_per_volume(
+        t.complaints, t.volume(), standin.VOLUME_YEARS, standin.VOLUME_EXCLUDED
+    )
+    return findings.facts_volume(rates, 1999, standin.FOCUS)
+
+
+@query
+def facts_events(t: Tables) -> DataFrame:
+    return findings.facts_events(t.study)
+
+
+@query
+def facts_themes(t: Tables) -> DataFrame:
+    summary = themes.theme_summary(t.labelled)
+    return findings.facts_themes(summary, themes.theme_vs_peers(t.labelled, standin.FOCUS))
+
+
+@query
+def facts_label_run(t: Tables) -> DataFrame:
+    return findings.facts_label_run(t.request_ledger(), "model_0")
+
+
+@query
+def chart_extremes(t: Tables) -> DataFrame:
+    return findings.chart_extremes(_mix(t), standin.FOCUS, standin.EXTREMES_FLOOR)
+
+
+@query
+def chart_issue_heat(t: Tables) -> DataFrame:
+    return findings.chart_issue_heat(benchmark.issue_mix(t.complaints, ISSUERS))
+
+
+@query
+def chart_theme_heat(t: Tables) -> DataFrame:
+    return findings.chart_theme_heat(themes.theme_mix(t.labelled))
+
+
+@query
+def chart_trend_index(t: Tables) -> DataFrame:
+    trend = benchmark.monthly_trend(t.complaints, t.cards, standin.BASE_YEAR)
+    return findings.chart_trend_index(trend, standin.BASE_YEAR)
+
+
+@query
+def chart_relief(t: Tables) -> DataFrame:
+    return findings.chart_relief(benchmark.response_outcomes(t.complaints))
+
+
+@query
+def chart_top_benefits(t: Tables) -> DataFrame:
+    return findings.chart_top_benefits(
+        themes.top_named(t.labelled, "named_benefits", standin.FOCUS), standin.FOCUS
+    )
+
+
+@query
+def chart_very_negative(t: Tables) -> DataFrame:
+    return findings.chart_very_negative(themes.theme_sentiment(t.labelled, standin.FOCUS))
+
+
+@query
+def chart_event_series(t: Tables) -> DataFrame:
+    monthly = events.event_monthly(t.panels, standin.EVENTS, standin.CONTROLS).unionByName(
+        events.named_product_monthly(t.mentions, standin.EVENTS)
+    )
+    named = events.event_named_product(t.mentions, standin.EVENTS)
+    study = t.study.unionByName(named, allowMissingColumns=True)
+    return findings.chart_event_series(monthly, study)
+
+
+# --- denominators ------------------------------------------------------------------------
+@query
+def purchase_volume(t: Tables) -> DataFrame:
+    return scans.purchase_volume(t.denominators(), aliases=standin.VOLUME_ALIASES)

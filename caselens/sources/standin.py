@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from caselens.functions import rules
 from caselens.functions.exprs import lookup
 from caselens.functions.frames import keep
+from caselens.operators import benchmark, events
 from caselens.operators.labels import current_labels, labelled_sample
 from caselens.operators.sampling import eligible_narratives, stratified_sample
 from caselens.sources.exports import CARD_COLUMNS, is_card, restrict_to_issuers
-from caselens.sources.tables import complaint_view, purchase_volume, with_calendar
+from caselens.sources.tables import PRICE_SCHEMA, complaint_view, purchase_volume, with_calendar
 
 ISSUERS = {f"NATION_{i}": f"Issuer {letter}" for i, letter in enumerate("ABCDEFG")}
 FOCUS = "Issuer A"
@@ -251,7 +252,89 @@ class Tables:
             )
         )
 
+    def all_labelled(self) -> DataFrame:
+        """Every eligible narrative with its predicted theme, as a labelled sample of weight one."""
+        themes = self.model_labels().select("complaint_id", "primary_theme")
+        return self.eligible().join(themes, "complaint_id")
+
+    # --- event study -------------------------------------------------------------------------
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return keep(benchmark.mentions_monthly(self.complaints, CUTOFF_MONTH), "mentions")
+
+    @cached_property
+    def panels(self) -> DataFrame:
+        value = benchmark.value_issue_panel(self.complaints)
+        return keep(events.event_panels(value, self.mentions, self.model_labels()), "panels")
+
+    @property
+    def study(self) -> DataFrame:
+        return events.event_study(self.panels, EVENTS, CONTROLS)
+
+    # --- responses to check --------------------------------------------------------------------
+    def raw_labels(self) -> DataFrame:
+        """One response text per complaint: good ones in several forms and every kind of bad one."""
+        key, cust = F.col("complaint_id"), F.col("zip_code").cast("bigint")
+        theme = pick(rules.THEMES, cust % 10)
+        shown = pick(list(rules.THEME_LABELS.values()), cust % 10)
+        forms = [
+            ('{"primary_theme": "', theme, '", "secondary_theme": null, "sentiment": "negative", "named_benefits": '
+             '["Lounge  Access", "lounge access", " ", null, "Credit"], "card_product": "Gold card"}'),
+            ('Here it is: ```json {"primary_theme": "', shown, '", "secondary_theme": "none", "sentiment": '
+             '"Very negative", "named_benefits": null, "card_product": "unknown"} ``` done'),
+            ('{"primary_theme": "nonsense ', theme, '", "sentiment": "negative"}'),
+            ('{"theme": "', theme, '", "sentiment": "negative"}'),
+            ("no json for ", theme, ""),
+            ('{"primary_theme": "', theme, '", "sentiment": "furious"}'),
+            ('{"primary_theme": "', theme, '", }'),
+            ('{"primary_theme": "', theme, '", "secondary_theme": "annual fee", "sentiment": "neutral or mixed", '
+             '"named_benefits": "Free night", "card_product": null}'),
+            ('{"primary_theme": 5, "sentiment": "', theme, '"}'),
+            ('{"primary_theme": "', theme, '", "sentiment": "negative", "named_benefits": {"a": 1}}'),
+            ('{"primary_theme": "', theme, '", "sentiment": "negative", "named_benefits": ["a", 7]}'),
+            ('{"primary_theme": "', theme, '", "secondary_theme": 3, "sentiment": "negative"}'),
+            ('{"primary_theme": "', theme, '", "sentiment": "negative", "card_product": ["x"]}'),
+        ]
+        texts = [F.concat(F.lit(a), b, F.lit(c)) for a, b, c in forms]
+        which = (key % len(texts)).cast("int") + 1
+        return self._kept_complaints.select(key, F.element_at(F.array(*texts), which).alias("raw"))
+
+    def raw_packs(self) -> DataFrame:
+        """Responses to packs of up to eight complaints, with missing, repeated and bad items."""
+        key, cust = F.col("complaint_id"), F.col("zip_code").cast("bigint")
+        theme = F.when(key % 19 == 0, "nonsense").otherwise(pick(rules.THEMES, cust % 10))
+        item = F.concat(
+            F.lit('{"id": "'), key.cast("string"), F.lit('", "primary_theme": "'), theme,
+            F.lit('", "secondary_theme": null, "sentiment": "negative", "named_benefits": [], "card_product": null}'),
+        )
+        returned = F.when(key % 13 == 0, F.array()).when(key % 17 == 0, F.array(item, item)).otherwise(F.array(item))
+        pack = F.floor(key / 8)
+        packs = self._kept_complaints.groupBy(pack.alias("pack")).agg(
+            F.transform(F.sort_array(F.collect_list(key)), lambda k: k.cast("string")).alias("ids"),
+            F.flatten(F.collect_list(returned.cast("array<string>"))).alias("items"),
+        )
+        results = F.concat(F.lit('{"results": ['), F.array_join("items", ", "), F.lit("]}"))
+        n = F.col("pack")
+        return packs.select(
+            n.cast("string").alias("pack_id"),
+            F.lit("model_0").alias("model"),
+            F.lit(PROMPT_VERSION).alias("prompt_version"),
+            F.lit("batch").alias("mode"),
+            "ids",
+            F.slice("ids", 1, 1).alias("truncated_ids"),
+            F.when(n % 23 == 0, F.substring(results, 1, 14)).when(n % 31 == 0, '{"items": []}')
+            .otherwise(results).alias("raw"),
+            F.when(n % 29 == 0, "refusal").when(n % 46 == 0, "max_tokens").otherwise("end").alias("stop_reason"),
+            (F.size("ids") * 100).alias("input_tokens"),
+            (F.size("ids") * 50).alias("output_tokens"),
+            (F.size("ids") * 25).alias("cache_read_tokens"),
+            F.lit(0).alias("cache_write_tokens"),
+        )
+
     # --- request ledger ----------------------------------------------------------------------
+    def prices(self) -> DataFrame:
+        return self.spark.createDataFrame(PRICES, PRICE_SCHEMA)
+
     def request_ledger(self) -> DataFrame:
         """Label attempts from the event log; items get one or two attempts."""
         n_items = self.read("events").agg(F.floor(F.count(F.lit(1)) * 0.6).alias("n"))
