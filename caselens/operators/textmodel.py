@@ -11,7 +11,6 @@ import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import VectorUDT
@@ -161,10 +160,8 @@ def fit_theme_model(
         standardization=False,
         maxIter=MAX_ITER,
     ).fit(matrix)
-    per_term = fitted.coefficientMatrix.toArray().T  # at most max_features x classes numbers
-    coef = spark.createDataFrame(
-        pd.DataFrame({"index": range(size), "coef": list(per_term)}), "index int, coef array<double>"
-    )
+    per_term = fitted.coefficientMatrix.toArray().T.tolist()  # at most max_features x classes numbers
+    coef = spark.createDataFrame(list(enumerate(per_term)), "index int, coef array<double>")
     table = vocabulary.join(coef, "index").select("term", "idf", "coef")
     return ThemeModel(classes, [float(b) for b in fitted.interceptVector], keep(table, "model"))
 

@@ -1,7 +1,7 @@
-"""All SQL checks by query key."""
+"""All SQL checks by query key. Queries without one (the fitted text models) are tested on fixtures."""
 
 from __future__ import annotations
 
-from caselens.plans import oracle_benchmark
+from caselens.plans import oracle_benchmark, oracle_labels
 
-SQL: dict[str, str] = {**oracle_benchmark.SQL}
+SQL: dict[str, str] = {**oracle_benchmark.SQL, **oracle_labels.SQL}

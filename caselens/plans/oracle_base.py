@@ -163,4 +163,4 @@ model_labels AS (
 
 def over(*parts: str, body: str) -> str:
     """WITH the given named parts, then the body (which may add its own after a comma)."""
-    return "WITH " + ",".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + body
