@@ -10,7 +10,10 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.linalg import VectorUDT
@@ -28,6 +31,7 @@ MIN_DF = 3
 MAX_FEATURES = 150_000
 INVERSE_PENALTY = 8.0
 MAX_ITER = 2000
+TOLERANCE = 1e-5
 UNSURE_BELOW = 0.5
 
 
@@ -108,13 +112,17 @@ def _vocabulary(docs: DataFrame, n_docs: int, min_df: int, max_features: int) ->
 
 def _vectors(docs: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
     """Unit-length sparse feature vectors (row_id, label, features)."""
-    entry = F.when(F.col("index").isNotNull(), F.struct("index", _tfidf().alias("x")))
+    # The length is summed with the entries: inside the lambda it would be worked out per entry.
+    entry = F.when(F.col("index").isNotNull(), F.struct("index", "x"))
     rows = (
         _one_per_term(docs)
         .join(F.broadcast(vocabulary), "term", "left")
+        .withColumn("x", _tfidf())
         .groupBy("row_id", "label")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-        .withColumn("length", F.sqrt(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])))
+        .agg(
+            F.sort_array(F.collect_list(entry)).alias("entries"),
+            F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"),
+        )
     )
     vector = F.struct(
         F.lit(0).alias("type"),
@@ -134,13 +142,21 @@ def fit_theme_model(
     text: str,
     label: str,
     stop_words: Sequence[str] | None = None,
-    min_df: int = MIN_DF,
-    max_features: int = MAX_FEATURES,
+    **settings,
 ) -> ThemeModel:
     """Fits on rows with one label each; classes weigh the same however many rows they have."""
-    spark = train.sparkSession
     named = train.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"), F.col(text).alias("text"))
-    docs = keep(with_terms(named, "text", stop_words), "terms")
+    return fit_on_terms(keep(with_terms(named, "text", stop_words), "terms"), **settings)
+
+
+def fit_on_terms(
+    docs: DataFrame,
+    min_df: int = MIN_DF,
+    max_features: int = MAX_FEATURES,
+    tolerance: float = TOLERANCE,
+) -> ThemeModel:
+    """Fits on (row_id, label, terms)."""
+    spark = docs.sparkSession
     by_class = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     classes, n_docs = sorted(by_class), sum(by_class.values())
     vocabulary = keep(_vocabulary(docs, n_docs, min_df, max_features), "vocabulary")
@@ -159,6 +175,7 @@ def fit_theme_model(
         regParam=1.0 / (INVERSE_PENALTY * n_docs),
         standardization=False,
         maxIter=MAX_ITER,
+        tol=tolerance,
     ).fit(matrix)
     per_term = fitted.coefficientMatrix.toArray().T.tolist()  # at most max_features x classes numbers
     coef = spark.createDataFrame(list(enumerate(per_term)), "index int, coef array<double>")
@@ -174,11 +191,16 @@ def predict_themes(
     stop_words: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every other column of the corpus with primary_theme and confidence for each row."""
-    columns = [c for c in corpus.columns if c != text]
+    return predict_on_terms(model, with_terms(corpus, text, stop_words))
+
+
+def predict_on_terms(model: ThemeModel, docs: DataFrame) -> DataFrame:
+    """Scores documents given as rows with `terms`; their other columns identify them."""
+    columns = [c for c in docs.columns if c != "terms"]
     x = F.coalesce(_tfidf(), F.lit(0.0))
     classes = range(len(model.classes))
     sums = (
-        _one_per_term(with_terms(corpus, text, stop_words))
+        _one_per_term(docs)
         .join(F.broadcast(model.vocabulary), "term", "left")
         .withColumn("x", x)
         .groupBy(*columns)
@@ -254,12 +276,15 @@ def theme_model_cv(
     fold_of = ranked.join(sizes.select("label"), "label").select(
         "row_id", ((F.col("place") - 1) % folds).alias("fold")
     )
-    dealt = keep(named.join(fold_of, "row_id"), "folds")
-    predicted = None
-    for fold in range(folds):
-        model = fit_theme_model(dealt.filter(F.col("fold") != fold), "row_id", "text", "label", stop_words)
-        part = predict_themes(model, dealt.filter(F.col("fold") == fold), "text", stop_words)
-        predicted = part if predicted is None else predicted.unionByName(part)
+    dealt = keep(with_terms(named.join(fold_of, "row_id"), "text", stop_words), "folds")
+
+    def held_out(fold: int) -> DataFrame:
+        model = fit_on_terms(dealt.filter(F.col("fold") != fold).drop("fold"))
+        return predict_on_terms(model, dealt.filter(F.col("fold") == fold))
+
+    # The fits are independent; each is many short jobs, so they share the cluster well.
+    with ThreadPool(folds) as pool:
+        predicted = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(held_out), range(folds)))
     pairs = predicted.groupBy("label", "primary_theme").agg(F.count(F.lit(1)).alias("n"))
     same = F.when(F.col("label") == F.col("primary_theme"), F.col("n")).otherwise(0)
     per_side = pairs.withColumn("same", same).select(
