@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -126,6 +127,24 @@ def unicode_regex(pattern: str) -> str:
     return "(?iuU)" + pattern
 
 
+# Letters outside ASCII that case-blind matching takes for i, k and s.
+ASCII_LOOKALIKES = ["\u0131", "\u0130", "\u212a", "\u017f"]
+
+
+def matches(text: Column, low: Column, regex: str, fragments: Sequence[str]) -> Column:
+    """text.rlike(regex), with the regex run only on text that holds a fragment of it.
+
+    `low` is the lower-case text. A plain search costs a small part of a case-blind regex, and most
+    texts hold no fragment of most patterns. Text with a letter that lower case does not bring to
+    ASCII but case-blind matching does goes to the regex as well, so the result is always the same.
+    """
+    could = reduce(
+        lambda a, b: a | b,
+        [F.contains(low, F.lit(f)) for f in fragments] + [F.contains(text, F.lit(c)) for c in ASCII_LOOKALIKES],
+    )
+    return could & text.rlike(regex)
+
+
 def one_spaced(text: Column) -> Column:
     """Runs of any white space become one space; both ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))

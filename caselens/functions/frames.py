@@ -27,17 +27,19 @@ def shared_folder(spark: SparkSession) -> str | None:
     return None
 
 
-def keep(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
     """Write the frame once to the shared folder and read it back, so lineage ends there.
 
-    Where no shared folder is known the plan is handed on as it is.
+    `even_files` spends a shuffle to write files of like size, for wide tables that are read often and
+    come out of joins that leave a few huge partitions. Where no shared folder is known the plan is
+    handed on as it is.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None:
         return df
     path = f"{folder}/kept/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    (df.hint("rebalance") if even_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -155,6 +155,57 @@ THEME_RULES: dict[str, str] = {
     ),
 }
 
+# --- lower-case fragments: any text a pattern above matches holds at least one of its fragments ---
+MENTION_FRAGMENTS: dict[str, list[str]] = {
+    "annual_fee": ["annual", "membership"],
+    "platinum": ["platinum"],
+    "sapphire_reserve": ["sapphire"],
+    "statement_credit": ["statement"],
+    "lounge": ["lounge"],
+}
+EVIDENCE_FRAGMENTS: dict[str, list[str]] = {
+    "welcome_offer": ["welcome ", "bonus", "000 points", "000 miles"],
+    "eligibility_wording": ["eligible", "popup", "pop-up", "pop up", "lifetime"],
+    "annual_fee": ["annual fee", "membership fee"],
+    "late_fee": ["late fee"],
+    "refund": ["refund"],
+    "statement_credit": ["statement credit"],
+    "points_lost": ["forfeit", "claw", "took back", "took away", "removed ", "rescind"],
+}
+THEME_FRAGMENTS: dict[str, list[str]] = {
+    "annual_fee": ["annual fee", "membership fee", "yearly fee"],
+    "statement_credit_benefit": [
+        "statement credit", "uber c", "airline ", "hotel credit", "dining credit", "resy", "saks",
+        "entertainment credit", "walmart+", "clear credit", "clear plus credit", "companion ",
+        "free night", "travel credit", "dashpass",
+    ],
+    "rewards_points": ["points", "miles", "cashback", "cash back", "reward", "welcome ", "bonus"],
+    "lounge_travel_benefit": [
+        "lounge", "priority pass", "centurion", "global entry", "tsa pre", "travel portal",
+        "fine hotels", "concierge", "hotel status", "elite status",
+    ],
+    "insurance_protection_claim": [
+        "purchase protection", "trip ", "rental car ", "car rental ", "extended warranty",
+        "return protection", "phone protection", "baggage ", "administrator", "travel insurance",
+        "insurance claim",
+    ],
+    "dispute_fraud": [
+        "dispute", "chargeback", "fraud", "unauthori", "identity theft", "stolen", "scam",
+        "did not authorize",
+    ],
+    "customer_service": [
+        "customer service", "representative", "supervisor", "on hold", "hung up", "rude", "call",
+    ],
+    "credit_limit_account_closure": [
+        "credit li", "closed", "closing", "closure", "suspended", "restricted", "canceled",
+        "cancelled", "financial review", "application ", "denied ",
+    ],
+    "billing": [
+        "late fee", "interest", "apr", "autopay", "auto pay", "minimum payment", "balance transfer",
+        "statement balance", "credit report", "credit bureau", "collection", "payment ",
+    ],
+}
+
 # --- sampling ------------------------------------------------------------------------------
 SAMPLE_SEED = 20260930
 SAMPLE_UNTIL = "2026-07-31"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caselens.functions import rules
 from caselens.functions.exprs import draw_key, lookup, quarter_label
 from caselens.functions.frames import keep, shuffled_rank, small_or_plain
-from caselens.operators.keywords import keyword_themes
+from caselens.operators.keywords import with_keyword_themes
 
 SAMPLE_COLUMNS = [
     "complaint_id", "issuer", "date_received", "quarter", "issue", "sub_issue", "company_response",
@@ -132,9 +132,11 @@ def keyword_seeds(
 ) -> DataFrame:
     """Rows that match the rule of exactly one theme, at most `cap` per theme."""
     order = Window.partitionBy("theme").orderBy(draw_key(row_id, seed), row_id)
-    matched = corpus.withColumn("_themes", keyword_themes("narrative")).filter(F.size("_themes") == 1)
+    # Exploding a one-element array, or null, filters without matching the rules a second time.
+    only = F.when(F.size("_themes") == 1, F.col("_themes"))
     drawn = (
-        matched.select(row_id, F.col("_themes")[0].alias("theme"))
+        with_keyword_themes(corpus, "narrative", "_themes")
+        .select(row_id, F.explode(only).alias("theme"))
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") <= cap)
         .drop("_rank")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from caselens.functions import rules
 from caselens.functions.exprs import lookup, percent, round_even, share
 from caselens.functions.frames import keep, shuffled_rank, small_or_plain
-from caselens.operators.keywords import keyword_themes
+from caselens.operators.keywords import with_keyword_themes
 from caselens.operators.sampling import keyword_seeds
 
 MIN_DF = 3
@@ -248,10 +248,10 @@ def theme_model(
         return scored.withColumn("label_source", F.lit(rules.FROM_DISTILLED_MODEL))
 
     model = fit_theme_model(keyword_seeds(corpus, seed_cap), row_id, text, "theme", stop_words)
-    flagged = corpus.withColumn("_no_rule", F.size(keyword_themes(text)) == 0)
+    flagged = with_keyword_themes(corpus, text, "_themes").withColumn("_no_rule", F.size("_themes") == 0)
     unsure = F.col("_no_rule") & (F.col("confidence") < UNSURE_BELOW)
     return (
-        predict_themes(model, flagged, text, stop_words)
+        predict_themes(model, flagged.drop("_themes"), text, stop_words)
         .withColumn("primary_theme", F.when(unsure, "other").otherwise(F.col("primary_theme")))
         .drop("_no_rule")
         .withColumn("label_source", F.lit(rules.FROM_KEYWORD_MODEL))

@@ -195,9 +195,13 @@ def top_named(s: DataFrame, column: str, focus: str, top: int = 15, others: str
 
 
 # --- quotes ------------------------------------------------------------------------------
-def pick_quote(narrative: Column | str, theme: Column | str) -> Column:
-    """First sentence of quotable length that is on the theme and not heavily redacted, or null."""
-    sentences = F.split(one_spaced(as_col(narrative)), r"(?<=[.!?]) +")
+def quotes_in(narrative: Column | str, theme: Column | str) -> Column:
+    """Array with the first sentence of quotable length that is on the theme and not heavily redacted.
+
+    Empty or null when there is none.
+    """
+    narrative, theme = as_col(narrative), as_col(theme)
+    sentences = F.split(one_spaced(narrative), r"(?<=[.!?]) +")
 
     def first_on(rule: str | None) -> Column:
         def fits(x: Column) -> Column:
@@ -205,15 +209,19 @@ def pick_quote(narrative: Column | str, theme: Column | str) -> Column:
             readable = (F.regexp_count(x, F.lit("XX")) <= 1) & ~F.contains(x, F.lit("{$"))
             return size & readable & (x.rlike(unicode_regex(rule)) if rule else F.lit(True))
 
-        return F.get(F.filter(sentences, fits), F.lit(0))
+        return F.slice(F.filter(sentences, fits), 1, 1)
 
-    theme = as_col(theme)
     chain = F
     for name, rule in rules.THEME_RULES.items():
         chain = chain.when(theme == name, first_on(rule))
     return chain.otherwise(first_on(None))
 
 
+def pick_quote(narrative: Column | str, theme: Column | str) -> Column:
+    """The quote of a narrative, or null."""
+    return F.get(quotes_in(narrative, theme), F.lit(0))
+
+
 def example_quotes(
     s: DataFrame,
     issuers: Sequence[str] = ALL_ISSUERS,
@@ -232,10 +240,9 @@ def example_quotes(
             "complaint_id",
             "issuer",
             "quarter",
-            pick_quote("narrative", "primary_theme").alias("text"),
             place.alias("_place"),
+            F.explode(quotes_in("narrative", "primary_theme")).alias("text"),
         )
-        .filter(F.col("text").isNotNull())
         .withColumn("_n", F.row_number().over(within))
         .filter(F.col("_n") <= max_per_theme)
         .withColumn("_m", F.row_number().over(over_theme))

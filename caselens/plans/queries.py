@@ -14,7 +14,6 @@ from caselens.operators import (
     costs,
     events,
     findings,
-    label_parse,
     labels,
     profile,
     sampling,
@@ -22,7 +21,8 @@ from caselens.operators import (
     themes,
     validation,
 )
-from caselens.operators.keywords import keyword_themes
+from caselens.operators import label_parse as parsing
+from caselens.operators.keywords import with_keyword_themes
 from caselens.sources import exports, standin, tables as scans
 from caselens.sources.standin import Tables
 
@@ -202,12 +202,9 @@ def sample_summary(t: Tables) -> DataFrame:
 
 
 @query
-def keyword_themes_found(t: Tables) -> DataFrame:
-    found = F.array_join(keyword_themes("narrative"), ",")
-    return t.eligible().groupBy(found.alias("themes")).agg(F.count(F.lit(1)).alias("narratives"))
-
-
-REGISTRY["keyword_themes"] = REGISTRY.pop("keyword_themes_found")
+def keyword_themes(t: Tables) -> DataFrame:
+    found = with_keyword_themes(t.eligible())
+    return found.groupBy(F.array_join("themes", ",").alias("themes")).agg(F.count(F.lit(1)).alias("narratives"))
 
 
 @query
@@ -234,17 +231,14 @@ def as_text(df: DataFrame, *arrays: str) -> DataFrame:
 
 
 @query
-def label_parse_rows(t: Tables) -> DataFrame:
-    parsed = label_parse.parse_labels(t.raw_labels(), "raw")
+def label_parse(t: Tables) -> DataFrame:
+    parsed = parsing.parse_labels(t.raw_labels(), "raw")
     return as_text(parsed.drop("raw"), "named_benefits")
 
 
-REGISTRY["label_parse"] = REGISTRY.pop("label_parse_rows")
-
-
 @query
 def label_pack_parse(t: Tables) -> DataFrame:
-    return as_text(label_parse.parse_packs(t.raw_packs()), "named_benefits")
+    return as_text(parsing.parse_packs(t.raw_packs()), "named_benefits")
 
 
 @query
@@ -264,9 +258,9 @@ def labelled_sample(t: Tables) -> DataFrame:
 
 @query
 def labelled_sample_from_model(t: Tables) -> DataFrame:
-    few = labels.current_labels(t.request_ledger(), standin.PROMPT_VERSION)
+    none_yet = labels.current_labels(t.request_ledger(), "v2")
     sample = t.eligible().withColumns({"stratum_size": F.lit(1), "weight": F.lit(1.0)})
-    out = labels.labelled_sample(sample, few, t.model_labels())
+    out = labels.labelled_sample(sample, none_yet, t.model_labels())
     return as_text(out.drop("narrative"), "named_benefits")
 
 

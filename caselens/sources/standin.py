@@ -147,11 +147,11 @@ class Tables:
     @cached_property
     def _kept_cards(self) -> DataFrame:
         from_start = F.col("date_received") >= F.lit(START).cast("date")
-        return keep(self.mapped().filter(is_card() & from_start), "cards_all")
+        return keep(self.mapped().filter(is_card() & from_start), "cards_all", even_files=True)
 
     @cached_property
     def _kept_complaints(self) -> DataFrame:
-        return keep(restrict_to_issuers(self._kept_cards, ISSUERS), "complaints")
+        return keep(restrict_to_issuers(self._kept_cards, ISSUERS), "complaints", even_files=True)
 
     @property
     def cards(self) -> DataFrame:
