@@ -58,12 +58,15 @@ def shuffled_rank(
     by: Sequence[str] = (),
     out: str = "rank",
     prefix: int = 3,
+    up_to: int | None = None,
 ) -> DataFrame:
     """Exact 1-based rank in seeded random order, within `by` or over all rows.
 
     The order is that of ``draw_key(row_id)``. Rows are ranked inside 16^prefix equal slices of the
     key and shifted by the number of rows in earlier slices, so neither all rows nor a hot group
     ever sit in one task. Only the slice counts (at most 16^prefix per group) are summed up in order.
+    With `up_to` only ranks up to it are returned, and slices that lie beyond are not sorted.
+    The frame is read twice, so it should be cheap to read.
     """
     by = list(by)
     sliced = df.withColumn("_key", draw_key(row_id, seed)).withColumn(
@@ -75,9 +78,27 @@ def shuffled_rank(
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*by, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"))
     )
+    if up_to is not None:
+        shifts = shifts.filter(F.col("_shift") < up_to)
     inside = Window.partitionBy(*by, "_slice").orderBy("_key", row_id)
-    return (
+    ranked = (
         sliced.join(shifts, [*by, "_slice"])
         .withColumn(out, F.col("_shift") + F.row_number().over(inside))
         .select(*df.columns, out)
     )
+    return ranked if up_to is None else ranked.filter(F.col(out) <= up_to)
+
+
+def first_ranks(
+    df: DataFrame, row_id: str, seed: int | str, by: Sequence[str], up_to: int, out: str = "rank"
+) -> DataFrame:
+    """The first `up_to` rows of every group in seeded random order, with their rank.
+
+    For small limits Spark keeps only that many rows per group and task before it shuffles. It does
+    not do so above its threshold; there the rows are ranked in slices instead.
+    """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if up_to > threshold:
+        return shuffled_rank(df, row_id, seed, by, out, up_to=up_to)
+    order = Window.partitionBy(*by).orderBy(draw_key(row_id, seed), row_id)
+    return df.withColumn(out, F.row_number().over(order)).filter(F.col(out) <= up_to)

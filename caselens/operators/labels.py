@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
+from caselens.functions.frames import small_or_plain
 
 LABEL_COLUMNS = [
     "complaint_id", "model", "primary_theme", "secondary_theme", "sentiment", "named_benefits",
@@ -79,5 +80,9 @@ def labelled_sample(
             .withColumn("label_source", F.lit(rules.FROM_LABELS))
             .select(*sample.columns, *labels.drop("complaint_id", "model").columns, "label_source")
         )
-    rows = sample.join(model_labels.select("complaint_id", "primary_theme", "label_source"), "complaint_id")
+    # Model labels cover the whole corpus; only those of sampled rows take part in the join.
+    wanted = model_labels.select("complaint_id", "primary_theme", "label_source").join(
+        small_or_plain(sample.select("complaint_id")), "complaint_id", "left_semi"
+    )
+    rows = sample.join(wanted, "complaint_id")
     return rows.withColumns({c: F.lit(None).cast(t) for c, t in ONLY_FROM_LABELS.items()})

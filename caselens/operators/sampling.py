@@ -1,20 +1,19 @@
 """Weighted stratified sampling, balanced draws, keyword seeds and request packs.
 
-Draws follow a seeded md5 of the row id, so they are the same on any partitioning. Every `rank <= k`
-filter with a literal k is also applied before the shuffle, so a stratum that holds most of the rows
-sends at most k of them per input task.
+Draws follow a seeded md5 of the row id, so they are the same on any partitioning. A group that holds
+most of the rows never sits in one task (see `first_ranks` and `shuffled_rank`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
-from caselens.functions.exprs import draw_key, lookup, quarter_label
-from caselens.functions.frames import keep, shuffled_rank, small_or_plain
+from caselens.functions.exprs import lookup, quarter_label
+from caselens.functions.frames import first_ranks, keep, shuffled_rank, small_or_plain
 from caselens.operators.keywords import with_keyword_themes
 
 SAMPLE_COLUMNS = [
@@ -57,12 +56,7 @@ def stratified_sample(
     sizes = narrow.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size"))
     cap = F.coalesce(lookup(F.col(strata[0]), {k: str(v) for k, v in caps.items()}).cast("int"), F.lit(default_cap))
     top = max([default_cap, *caps.values()])
-    order = Window.partitionBy(*strata).orderBy(draw_key(row_id, seed), row_id)
-    drawn = (
-        narrow.withColumn("_rank", F.row_number().over(order))
-        .filter((F.col("_rank") <= top) & (F.col("_rank") <= cap))
-        .drop("_rank")
-    )
+    drawn = first_ranks(narrow, row_id, seed, strata, top, "_rank").filter(F.col("_rank") <= cap).drop("_rank")
     weight = F.col("stratum_size") / F.least(F.col("stratum_size"), cap).cast("double")
     weighted = drawn.join(sizes, strata).withColumn("weight", weight).drop(*strata)
     return pool.join(small_or_plain(keep(weighted, "drawn")), row_id)
@@ -114,10 +108,8 @@ def balanced_draw(
     row_id: str = "complaint_id",
 ) -> DataFrame:
     """About n rows spread evenly over the classes; small classes give all they have."""
-    order = Window.partitionBy(class_col).orderBy(draw_key(row_id, seed), row_id)
     return (
-        df.withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= n)
+        first_ranks(df, row_id, seed, [class_col], n, "_rank")
         .join(balanced_quotas(df, class_col, n), class_col)
         .filter(F.col("_rank") <= F.col("quota"))
         .select(*df.columns)
@@ -131,16 +123,10 @@ def keyword_seeds(
     row_id: str = "complaint_id",
 ) -> DataFrame:
     """Rows that match the rule of exactly one theme, at most `cap` per theme."""
-    order = Window.partitionBy("theme").orderBy(draw_key(row_id, seed), row_id)
     # Exploding a one-element array, or null, filters without matching the rules a second time.
     only = F.when(F.size("_themes") == 1, F.col("_themes"))
-    drawn = (
-        with_keyword_themes(corpus, "narrative", "_themes")
-        .select(row_id, F.explode(only).alias("theme"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= cap)
-        .drop("_rank")
-    )
+    single = with_keyword_themes(corpus, "narrative", "_themes").select(row_id, F.explode(only).alias("theme"))
+    drawn = first_ranks(keep(single, "single"), row_id, seed, ["theme"], cap, "_rank").drop("_rank")
     return corpus.join(small_or_plain(keep(drawn, "seeds")), row_id)
 
 

@@ -54,22 +54,29 @@ def text_date(c: Column | str) -> Column:
     return F.when(whole, F.try_to_date(F.replace(c, F.lit("/"), F.lit("-")), "yyyy-M-d"))
 
 
-def unclean_rows(raw: DataFrame) -> DataFrame:
-    """Bad rows per export: source_file, bad_rows. Empty when every export is clean."""
+def bad_rows() -> Column:
+    """Aggregate: rows whose id is not all digits or whose date is not a date."""
     bad = ~F.col("complaint_id").rlike(r"\A\d+\z") | text_date("date_received").isNull()
-    return (
-        raw.groupBy("source_file")
-        .agg(F.count_if(bad).alias("bad_rows"))
-        .filter(F.col("bad_rows") > 0)
-    )
+    return F.count_if(bad).alias("bad_rows")
 
 
-def assert_clean(raw: DataFrame, report: int = 20) -> DataFrame:
-    """The same rows, or an error that names the worst exports."""
-    worst = unclean_rows(raw).orderBy(F.desc("bad_rows"), "source_file").limit(report).collect()
+def raise_if_unclean(per_file: DataFrame, report: int = 20) -> None:
+    """An error that names the worst exports, from (source_file, bad_rows)."""
+    failed = per_file.filter(F.col("bad_rows") > 0)
+    worst = failed.orderBy(F.desc("bad_rows"), "source_file").limit(report).collect()
     if worst:
         listed = ", ".join(f"{r.source_file}: {r.bad_rows} rows" for r in worst)
         raise UncleanExport(f"id or date check failed for {listed}")
+
+
+def unclean_rows(raw: DataFrame) -> DataFrame:
+    """Bad rows per export: source_file, bad_rows. Empty when every export is clean."""
+    return raw.groupBy("source_file").agg(bad_rows()).filter(F.col("bad_rows") > 0)
+
+
+def assert_clean(raw: DataFrame) -> DataFrame:
+    """The same rows, or an error if any export fails the gate."""
+    raise_if_unclean(unclean_rows(raw))
     return raw
 
 
@@ -83,13 +90,14 @@ def is_card(product: Column | str = "product", sub_product: Column | str = "sub_
     return F.coalesce(renamed | before, F.lit(False))
 
 
-def file_counts(raw: DataFrame) -> DataFrame:
-    """Rows, card rows and first and last date text per export."""
+def file_counts(raw: DataFrame, *more: Column) -> DataFrame:
+    """Rows, card rows and first and last date text per export, and further aggregates if given."""
     return raw.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("rows_total"),
         F.count_if(is_card()).alias("rows_card"),
         F.min("date_received").alias("min_date_received"),
         F.max("date_received").alias("max_date_received"),
+        *more,
     )
 
 

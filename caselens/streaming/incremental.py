@@ -8,11 +8,12 @@ from caselens.functions import rules
 from caselens.sources.exports import (
     CSV_OPTIONS,
     EXPORT_SCHEMA,
-    assert_clean,
+    bad_rows,
     clean_rows,
     dedupe_latest,
     file_counts,
     named_columns,
+    raise_if_unclean,
 )
 
 
@@ -30,8 +31,11 @@ def process_new_files(
     """
 
     def one_batch(raw: DataFrame, batch_id: int) -> None:
-        assert_clean(raw)
-        file_counts(raw).write.mode("overwrite").parquet(f"{parts}/counts/batch={batch_id}")
+        # Gate and counts share one scan; its result, a row per export, is held for the write.
+        counts = file_counts(raw, bad_rows()).persist()
+        raise_if_unclean(counts)
+        counts.drop("bad_rows").write.mode("overwrite").parquet(f"{parts}/counts/batch={batch_id}")
+        counts.unpersist()
         clean_rows(raw, start).write.mode("overwrite").parquet(f"{parts}/rows/batch={batch_id}")
 
     stream = named_columns(spark.readStream.schema(EXPORT_SCHEMA).options(**CSV_OPTIONS).csv(incoming))
