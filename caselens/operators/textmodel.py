@@ -284,7 +284,7 @@ def theme_model_cv(
 
     # The fits are independent; each is many short jobs, so they share the cluster well.
     with ThreadPool(folds) as pool:
-        predicted = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(held_out), range(folds)))
+        predicted = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(train.sparkSession)(held_out), range(folds)))
     pairs = predicted.groupBy("label", "primary_theme").agg(F.count(F.lit(1)).alias("n"))
     same = F.when(F.col("label") == F.col("primary_theme"), F.col("n")).otherwise(0)
     per_side = pairs.withColumn("same", same).select(
