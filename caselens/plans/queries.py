@@ -171,6 +171,16 @@ def dedupe_latest(t: Tables) -> DataFrame:
     return exports.dedupe_latest(t.two_exports())
 
 
+@query
+def ingest_exports(t: Tables) -> DataFrame:
+    return t.ingested()
+
+
+@query
+def incremental_ingest(t: Tables) -> DataFrame:
+    return t.ingested_incrementally()
+
+
 @query
 def card_filter(t: Tables) -> DataFrame:
     return t.mapped().groupBy("product", "sub_product", exports.is_card().alias("is_card")).agg(

@@ -32,11 +32,17 @@ class UncleanExport(ValueError):
     """An export has rows whose id is not all digits or whose date is not a date."""
 
 
+def export_name() -> Column:
+    """The export a row came from: its file, or the folder when an export is a folder of files."""
+    numbered = F.regexp_extract("_metadata.file_path", f".*[/=]([^/=]*{rules.EXPORT_NUMBER}[^/]*)", 1)
+    return F.coalesce(F.nullif(numbered, F.lit("")), "_metadata.file_name")
+
+
 def named_columns(raw: DataFrame) -> DataFrame:
     """File column names -> names used here; quoted empty cells read as null, like bare ones."""
     return raw.select(
         *[F.nullif(F.col(f"`{src}`"), F.lit("")).alias(dst) for src, dst in rules.EXPORT_COLUMNS.items()],
-        F.col("_metadata.file_name").alias("source_file"),
+        export_name().alias("source_file"),
     )
 
 

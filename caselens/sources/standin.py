@@ -6,6 +6,7 @@ take, as a caller with real exports would do with `sources.exports`.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 
 from caselens.functions import rules
 from caselens.functions.exprs import lookup
-from caselens.functions.frames import keep
+from caselens.functions.frames import keep, shared_folder
 from caselens.operators import benchmark, events
 from caselens.operators.labels import current_labels, labelled_sample
 from caselens.operators.sampling import eligible_narratives, stratified_sample
-from caselens.sources.exports import CARD_COLUMNS, is_card, restrict_to_issuers
+from caselens.sources.exports import CARD_COLUMNS, ingest, is_card, restrict_to_issuers
 from caselens.sources.tables import PRICE_SCHEMA, complaint_view, purchase_volume, with_calendar
+from caselens.streaming.incremental import ingested_cards, process_new_files
 
 ISSUERS = {f"NATION_{i}": f"Issuer {letter}" for i, letter in enumerate("ABCDEFG")}
 FOCUS = "Issuer A"
@@ -172,6 +174,34 @@ class Tables:
         )
         return self._kept_cards.unionByName(again)
 
+    def _place(self, name: str) -> str:
+        folder = shared_folder(self.spark)
+        if folder is None:
+            raise RuntimeError("spark.checkpoint.dir names no shared folder to write to")
+        return f"{folder}/kept/{name}-{uuid.uuid4().hex}"
+
+    @cached_property
+    def exports_folder(self) -> str:
+        """Every order, card or not, written as CSV exports: a folder of files per export."""
+        file_names = {v: k for k, v in rules.EXPORT_COLUMNS.items()}
+        rows = self.mapped()
+        place = self._place("exports")
+        rows.select(
+            *[F.col(c).cast("string").alias(name) for c, name in file_names.items()], F.col("source_file").alias("export")
+        ).write.partitionBy("export").csv(
+            place, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
+        return place
+
+    def ingested(self) -> DataFrame:
+        return ingest(self.spark, self.exports_folder, START)
+
+    def ingested_incrementally(self) -> DataFrame:
+        parts, checkpoint = self._place("parts"), self._place("parts-checkpoint")
+        for _ in range(2):  # the second run finds nothing new
+            process_new_files(self.spark, self.exports_folder, parts, checkpoint, START)
+        return ingested_cards(self.spark, parts)
+
     # --- reference dimension ---------------------------------------------------------------
     def denominators(self) -> DataFrame:
         issuer = lookup(F.col("n_name"), ISSUERS, default=F.col("n_name"))
