@@ -250,6 +250,20 @@ def chart_relief(outcomes: DataFrame) -> DataFrame:
     return outcomes.select("issuer", "monetary_relief_pct", "closed_complaints")
 
 
+def chart_relief_by_sub_issue(
+    facts: DataFrame, keys: Sequence[str] = ("fees", "promo_terms", "rewards")
+) -> DataFrame:
+    """Relief rate of the focus issuer and its peers for the value sub-issues among the headline facts."""
+    return facts.filter(F.col("key").isin(list(keys))).select(
+        "issue", "sub_issue", "focus_relief_pct", "peers_relief_pct"
+    )
+
+
+def chart_per_volume(rates: DataFrame, year: int) -> DataFrame:
+    """Complaints per unit of volume in one year."""
+    return rates.filter(F.col("year") == year)
+
+
 def chart_top_benefits(named: DataFrame, focus: str, top: int = 12) -> DataFrame:
     own = named.filter(F.col("group") == focus)
     return own.orderBy(F.desc("mentions"), F.lower("name")).limit(top).select("name", "mentions")
@@ -259,19 +273,31 @@ def chart_very_negative(sentiment: DataFrame) -> DataFrame:
     return sentiment.filter(F.col("sentiment") == "very_negative").select("theme_label", "share_pct")
 
 
+def _charted(df: DataFrame, metrics: Sequence[tuple[str, str]]) -> DataFrame:
+    return df.filter(F.struct("lens", "metric").isin([F.struct(F.lit(a), F.lit(b)) for a, b in metrics]))
+
+
+def chart_event_summary(study: DataFrame, metrics: Sequence[tuple[str, str]] = CHART_METRICS) -> DataFrame:
+    """Levels, effect, interval and placebo range of the charted metrics for every window."""
+    return _charted(study, metrics).select(
+        "event", "lens", "metric", "window_months", "treated_pre_pct", "treated_post_pct", "control_pre_pct",
+        "control_post_pct", "did_pts", "did_ci_low_pts", "did_ci_high_pts", "placebo_did_min_pts",
+        "placebo_did_max_pts",
+    )
+
+
 def chart_event_series(
     monthly: DataFrame,
     study: DataFrame,
     metrics: Sequence[tuple[str, str]] = CHART_METRICS,
 ) -> DataFrame:
     """Smoothed series of the charted metrics, each month with the numbers of the shortest window."""
-    wanted = F.struct("lens", "metric").isin([F.struct(F.lit(a), F.lit(b)) for a, b in metrics])
     numbers = ["treated_pre_pct", "treated_post_pct", "control_pre_pct", "control_post_pct", "did_pts"]
     shortest = study.groupBy("event", "lens", "metric").agg(
         F.min_by(F.struct("window_months", *numbers), "window_months").alias("s")
     )
     return (
-        monthly.filter(wanted)
+        _charted(monthly, metrics)
         .join(shortest, ["event", "lens", "metric"], "left")
         .select("event", "lens", "metric", "group", "month", "share_pct_3m", "s.*")
     )

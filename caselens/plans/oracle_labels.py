@@ -597,3 +597,18 @@ FROM both_monthly m LEFT JOIN both_study s ON s.event = m.event AND s.lens = m.l
 WHERE (m.lens, m.metric) IN ({_CHARTED})""",
 )
 SQL["purchase_volume"] = over(VOLUME_CTE.split(",\nrates AS")[0], body="SELECT * FROM volume")
+_SUB = SQL["facts_sub_issue"]
+SQL["chart_relief_by_sub_issue"] = f"""SELECT issue, sub_issue, focus_relief_pct, peers_relief_pct FROM ({_SUB})
+WHERE key IN ('fees', 'promo_terms', 'rewards')"""
+SQL["chart_per_volume"] = over(CARDS, VOLUME_CTE, body="SELECT * FROM rates WHERE year = 1999")
+_SHOWN = [
+    "window_months", "treated_pre_pct", "treated_post_pct", "control_pre_pct", "control_post_pct", "did_pts",
+]
+_ONLY_STUDY = ["did_ci_low_pts", "did_ci_high_pts", "placebo_did_min_pts", "placebo_did_max_pts"]
+SQL["chart_event_summary"] = over(
+    *_EV, STUDY, NAMED_STUDY,
+    body=f"""SELECT * FROM (
+  SELECT event, lens, metric, {', '.join(_SHOWN + _ONLY_STUDY)} FROM study
+  UNION ALL SELECT event, lens, metric, {', '.join(_SHOWN)}, NULL, NULL, NULL, NULL FROM named_study)
+WHERE (lens, metric) IN ({_CHARTED})""",
+)

@@ -78,9 +78,7 @@ def value_issue_panel(t: Tables) -> DataFrame:
 
 @query
 def rate_per_volume(t: Tables) -> DataFrame:
-    return benchmark.rate_per_volume(
-        t.complaints, t.volume(), standin.VOLUME_YEARS, standin.VOLUME_EXCLUDED
-    )
+    return _rates(t)
 
 
 @query
@@ -466,25 +464,40 @@ def facts_data(t: Tables) -> DataFrame:
     return findings.facts_data(t.complaints, t.cards, standin.FOCUS)
 
 
-@query
-def facts_sub_issue(t: Tables) -> DataFrame:
+def _sub_issue_facts(t: Tables) -> DataFrame:
     relief = benchmark.relief_by_sub_issue(t.complaints, standin.FOCUS, standin.MIN_FOCUS)
     evidence = benchmark.keyword_evidence(t.complaints, standin.FOCUS)
     return findings.facts_sub_issue(_mix(t), relief, evidence, standin.FOCUS)
 
 
+@query
+def facts_sub_issue(t: Tables) -> DataFrame:
+    return _sub_issue_facts(t)
+
+
+@query
+def chart_relief_by_sub_issue(t: Tables) -> DataFrame:
+    return findings.chart_relief_by_sub_issue(_sub_issue_facts(t))
+
+
 @query
 def facts_response(t: Tables) -> DataFrame:
     outcomes = benchmark.response_outcomes(t.complaints)
     return findings.facts_response(outcomes, benchmark.timely_response(t.complaints), standin.FOCUS)
 
 
+def _rates(t: Tables) -> DataFrame:
+    return benchmark.rate_per_volume(t.complaints, t.volume(), standin.VOLUME_YEARS, standin.VOLUME_EXCLUDED)
+
+
 @query
 def facts_volume(t: Tables) -> DataFrame:
-    rates = benchmark.rate_per_volume(
-        t.complaints, t.volume(), standin.VOLUME_YEARS, standin.VOLUME_EXCLUDED
-    )
-    return findings.facts_volume(rates, 1999, standin.FOCUS)
+    return findings.facts_volume(_rates(t), 1999, standin.FOCUS)
+
+
+@query
+def chart_per_volume(t: Tables) -> DataFrame:
+    return findings.chart_per_volume(_rates(t), 1999)
 
 
 @query
@@ -541,14 +554,22 @@ def chart_very_negative(t: Tables) -> DataFrame:
     return findings.chart_very_negative(themes.theme_sentiment(t.labelled, standin.FOCUS))
 
 
+def _study_with_named(t: Tables) -> DataFrame:
+    named = events.event_named_product(t.mentions, standin.EVENTS)
+    return t.study.unionByName(named, allowMissingColumns=True)
+
+
 @query
 def chart_event_series(t: Tables) -> DataFrame:
     monthly = events.event_monthly(t.panels, standin.EVENTS, standin.CONTROLS).unionByName(
         events.named_product_monthly(t.mentions, standin.EVENTS)
     )
-    named = events.event_named_product(t.mentions, standin.EVENTS)
-    study = t.study.unionByName(named, allowMissingColumns=True)
-    return findings.chart_event_series(monthly, study)
+    return findings.chart_event_series(monthly, _study_with_named(t))
+
+
+@query
+def chart_event_summary(t: Tables) -> DataFrame:
+    return findings.chart_event_summary(_study_with_named(t))
 
 
 # --- denominators ------------------------------------------------------------------------
