@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z_95 = 1.96
@@ -131,18 +131,21 @@ def unicode_regex(pattern: str) -> str:
 ASCII_LOOKALIKES = ["\u0131", "\u0130", "\u212a", "\u017f"]
 
 
-def matches(text: Column, low: Column, regex: str, fragments: Sequence[str]) -> Column:
+def with_search_columns(df: DataFrame, text: str) -> DataFrame:
+    """Adds what `matches` needs, once per row: the lower-case text and whether it has a lookalike."""
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ASCII_LOOKALIKES])
+    return df.withColumns({"_low": F.lower(text), "_odd": odd})
+
+
+def matches(text: str, regex: str, fragments: Sequence[str]) -> Column:
     """text.rlike(regex), with the regex run only on text that holds a fragment of it.
 
-    `low` is the lower-case text. A plain search costs a small part of a case-blind regex, and most
-    texts hold no fragment of most patterns. Text with a letter that lower case does not bring to
-    ASCII but case-blind matching does goes to the regex as well, so the result is always the same.
+    A plain search costs a small part of a case-blind regex, and most texts hold no fragment of most
+    patterns. Text with a letter that lower case does not bring to ASCII but case-blind matching does
+    goes to the regex as well, so the result is always the same.
     """
-    could = reduce(
-        lambda a, b: a | b,
-        [F.contains(low, F.lit(f)) for f in fragments] + [F.contains(text, F.lit(c)) for c in ASCII_LOOKALIKES],
-    )
-    return could & text.rlike(regex)
+    could = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(f)) for f in fragments], F.col("_odd"))
+    return could & F.col(text).rlike(regex)
 
 
 def one_spaced(text: Column) -> Column:

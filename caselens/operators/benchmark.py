@@ -22,6 +22,7 @@ from caselens.functions.exprs import (
     percent_where,
     round_up,
     share,
+    with_search_columns,
 )
 
 ALL_ISSUERS = list(rules.ISSUER_BY_COMPANY.values())
@@ -203,9 +204,8 @@ def relief_by_sub_issue(c: DataFrame, focus: str, min_focus: int = 100) -> DataF
 
 def _flagged(c: DataFrame, patterns: dict[str, str], fragments: dict[str, list[str]]) -> DataFrame:
     """One boolean per pattern, each matched once per text; the text itself goes no further."""
-    text, low = F.col("narrative"), F.col("_low")
-    flags = [matches(text, low, ascii_regex(p), fragments[name]).alias(name) for name, p in patterns.items()]
-    return c.withColumn("_low", F.lower(text)).select("issuer", "month", "sub_issue", *flags)
+    flags = [matches("narrative", ascii_regex(p), fragments[name]).alias(name) for name, p in patterns.items()]
+    return with_search_columns(c, "narrative").select("issuer", "month", "sub_issue", *flags)
 
 
 def mentions_monthly(
