@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +16,23 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\f\r"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application, where they would not find it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    app = spark.sparkContext.applicationId
+    if root in (os.getcwd(), *found) or app in _SHIPPED:
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="caselens-"), "caselens"), "zip", root, "caselens")
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -52,7 +70,7 @@ def text_of(column: str) -> Column:
 
 def word_array(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text in reading order."""
-    return F.array_remove(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:

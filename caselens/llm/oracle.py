@@ -21,7 +21,7 @@ m AS (SELECT doc_id, len(words) AS n_words,
         len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
         coalesce(rep.n, 0) AS n_repeat_words,
         len(text) - len(regexp_replace(text, '[!?]', '', 'g')) AS n_shouts,
-        len(list_filter(regexp_extract_all(lower(regexp_replace(text, '[.,;:!?"''()]', '', 'g')), '{WORD}'),
+        len(list_filter(regexp_extract_all(lower(text), '[^\x20\x09-\x0D.,;:!?"''()]+'),
             lambda x: list_contains([{_STOP}], x))) AS n_stop
       FROM w LEFT JOIN rep USING (r))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from caselens.llm.common import BLANKS, text_of, word_array
 
-# The symbols counted, marks left out when words are looked up, and the commonest function
-# words of the four languages.
-SYMBOLS = "#*$%&|<>"
-PUNCTUATION = ".,;:!?\"'()"
+# Patterns of the characters counted and of what parts plain words, and the commonest
+# function words of the four languages.
+SYMBOLS = r"[#*$%&|<>]"
+SHOUTS = r"[!?]"
+BETWEEN_PLAIN_WORDS = r"[\x20\x09-\x0D.,;:!?\"'()]+"
 STOP_WORDS = (
     "the of and to in a is that it for on was be with as by at from this or an are not "
     "de la le les des et un une en que qui dans pour par sur du au il ne pas "
@@ -85,22 +86,21 @@ def measured(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     rows stay as they are, repeated ones too.
     """
     body = text_of(text)
-    bare = F.translate(body, BLANKS, "")
-    with_words = F.filter(F.split(body, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    with_words = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
     long = lambda c: c.cast("bigint")
-    plain = word_array(F.lower(F.translate(body, PUNCTUATION, "")))
+    plain = F.split(F.lower(body), BETWEEN_PLAIN_WORDS)
     step = docs.withColumns({"_words": word_array(body), "_lines": with_words, "_plain": plain})
     windows, pairs = _covered(F.col("_words"), window)
     step = step.withColumns({"_windows": windows}).withColumns({"_pairs": pairs})
     step = step.withColumns(
         {
             "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(bare)),
-            "n_symbols": long(F.length(body) - F.length(F.translate(body, SYMBOLS, ""))),
+            "word_chars": long(F.length(F.array_join("_words", ""))),
+            "n_symbols": long(F.regexp_count(body, F.lit(SYMBOLS))),
             "n_lines": long(F.size("_lines")),
             "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
             "n_repeat_words": long(_repeat_words(window)),
-            "n_shouts": long(F.length(body) - F.length(F.translate(body, "!?", ""))),
+            "n_shouts": long(F.regexp_count(body, F.lit(SHOUTS))),
             "n_stop_words": long(F.size(F.filter("_plain", lambda w: w.isin(*STOP_WORDS)))),
         }
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import quality, warc
+from caselens.llm import packing, quality, tokenfiles, warc
 from caselens.llm.common import scratch, table
 
 
@@ -33,7 +34,24 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    docs = table(spark, sf_dir, "documents")
+    tokenfiles.write_token_files(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    rows = tokenfiles.read_token_files(spark, path)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
 QUERIES = {
+    "op2_sos_packing": sos_packing,
     "op3_quality_rules": quality_rules,
     "op4_warc_archive": warc_archive,
+    "op6_token_files": token_files,
 }
