@@ -52,8 +52,7 @@ def write_archive(
     response and the others revisit it; rows that repeat the smallest id with the same payload are responses
     too, and so is every row whose payload only rows without an id have. Shorter payloads are all responses.
     A null payload is the empty one; a null url or id leaves its header line out. Each distinct payload is
-    stored once. Only digests and ids are grouped; a payload crosses the network once, joined on its first
-    page.
+    stored once: each task sends a payload at most once, and only digests and ids are joined.
     """
     data = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
     rows = pages.select(
@@ -83,13 +82,8 @@ def write_archive(
     linked.select(
         "page_id", F.encode(head, "UTF-8").alias("header"), "sha256", F.col("payload_bytes")
     ).write.parquet(f"{path}/headers")
-    # One row per payload: the first page's; where that id repeats or is null, duplicates go by digest.
-    holders = rows.join(
-        first.withColumnRenamed("sha256", "first_sha"),
-        rows["page_id"].eqNullSafe(F.col("first_id")) & (rows["sha256"] == F.col("first_sha")),
-        "left_semi",
-    ).select("sha256", "payload_bytes", "payload")
-    holders.dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
+    # Rows of one digest have the same payload, so any of them serves; each task sends one at most.
+    rows.select("sha256", "payload_bytes", "payload").dropDuplicates(["sha256"]).write.parquet(f"{path}/payloads")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
