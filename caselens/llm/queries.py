@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import packing, quality, tokenfiles, warc
+from caselens.llm import decontaminate, minhash, packing, quality, tokenfiles, toxicity, warc
 from caselens.llm.common import scratch, table
 
 
@@ -49,9 +49,32 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op2_sos_packing": sos_packing,
     "op3_quality_rules": quality_rules,
     "op4_warc_archive": warc_archive,
     "op6_token_files": token_files,
+    "op7_seed_alignment": seed_alignment,
+    "op8_bbit_minhash": bbit_minhash,
+    "op9_fair_toxicity": fair_toxicity,
 }

@@ -16,6 +16,10 @@ import pyarrow.compute as pc
 _BYTES = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 _BLANK = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
+# Everything in ASCII but letters and digits, for words without punctuation.
+MARKS = (_BYTES < 128) & ~(
+    ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122))
+)
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 # Multipliers of the 64-bit finaliser (splitmix64) and the golden-ratio increment.
@@ -69,14 +73,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array, lower: bool = True) -> Words:
-    """The words of every row of a string column."""
+def words(column: pa.Array, lower: bool = True, between: np.ndarray = _BLANK) -> Words:
+    """The words of every row of a string column; `between` marks the bytes that part them."""
     data, offsets = text_bytes(column)
     n = len(data)
     padded = np.zeros(n + 8, dtype=np.uint8)
     padded[:n] = _LOWER[data] if lower else data
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~_BLANK[data]
+    inside[1:-1] = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     here, before = inside[1:], inside[:-1]
