@@ -6,10 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import decontaminate, minhash, packing, quality, tokenfiles, toxicity, warc
+from caselens.llm import decontaminate, minhash, packing, pii, quality, tokenfiles, toxicity, warc
 from caselens.llm.common import scratch, table
 
 
+def bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select(
+        "doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans")
+    )
+
+
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(
@@ -70,6 +79,7 @@ def fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bootstrapped_pii": bootstrapped_pii,
     "op2_sos_packing": sos_packing,
     "op3_quality_rules": quality_rules,
     "op4_warc_archive": warc_archive,
