@@ -83,3 +83,11 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4_000_000) -> It
         end = min(max(end, at + 1), len(texts))
         yield batch.slice(at, end - at)
         at = end
+
+
+def small_side(df: DataFrame, max_rows: int = 400_000) -> DataFrame:
+    """A stored frame of a few narrow columns, marked for broadcast if a count shows that it is small.
+
+    Larger ones are left as they are and joined by shuffle, with the same result.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

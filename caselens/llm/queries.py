@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import decontaminate, minhash, packing, pii, quality, tokenfiles, toxicity, warc
+from caselens.llm import decontaminate, fuzzy_lines, minhash, packing, pii, quality, tokenfiles, toxicity, warc
 from caselens.llm.common import scratch, table
 
 
@@ -50,6 +50,11 @@ def sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fuzzy_lines.dedupe_lines(docs).select("doc_id", "n_lines", "dropped", "text")
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
@@ -83,6 +88,7 @@ QUERIES = {
     "op2_sos_packing": sos_packing,
     "op3_quality_rules": quality_rules,
     "op4_warc_archive": warc_archive,
+    "op5_fuzzy_lines": fuzzy_line_dedup,
     "op6_token_files": token_files,
     "op7_seed_alignment": seed_alignment,
     "op8_bbit_minhash": bbit_minhash,
