@@ -6,7 +6,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +31,13 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow with a function of this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import slices
+from caselens.llm.common import arrow_map, slices
 from caselens.llm.words import MARKS, mix, run_rows, runs, words
 
 SEED_WORDS = 3
@@ -192,7 +192,7 @@ def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
 
     if not len(items.grams):
         return items
-    counted = docs.select(text).mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    counted = arrow_map(docs.select(text), count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     frequency = np.zeros(len(items.grams), dtype=np.int64)
     for gram, n in counted.collect():  # one row per n-gram of the block at most
         frequency[gram] = n
@@ -259,7 +259,7 @@ def find_passages(
                     if len(row):
                         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-        block = docs.select(row_id, text).mapInArrow(find, schema)
+        block = arrow_map(docs.select(row_id, text), find, schema)
         result = block if result is None else result.unionByName(block)
     return docs.sparkSession.createDataFrame([], schema) if result is None else result
 
@@ -285,5 +285,5 @@ def clean_documents(
                     clean[row] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = arrow_map(docs, keep, docs.schema)
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import slices, stored
+from caselens.llm.common import arrow_map, slices, small_side, stored
 from caselens.llm.graph import components
 from caselens.llm.words import mix, run_rows, runs, words
 
@@ -81,8 +81,8 @@ _BITS = [f"s{k}" for k in range(PACKED)]
 
 
 def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
-    """row_id, n_shingles, a 128-bit hash of the set (h1, h2), packed bits and band keys of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[row_id].dataType)])
+    """row_id, row (hash of id and text), n_shingles, a 128-bit hash of the set (h1, h2), packed bits and band keys of every row."""
+    schema = T.StructType([T.StructField("id", docs.schema[row_id].dataType), T.StructField("row", T.LongType())])
     for name in ("n_shingles", "h1", "h2", *_BITS):
         schema = schema.add(name, T.LongType())
     schema = schema.add("bands", T.ArrayType(T.LongType()))
@@ -105,6 +105,7 @@ def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(n),
                         *[pa.array(x.view(np.int64)) for x in h],
                         *[pa.array(packed[:, k]) for k in range(PACKED)],
@@ -113,7 +114,7 @@ def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select(F.col(row_id), F.col(text)).mapInArrow(run, schema)
+    return arrow_map(docs.select(row_id, text, F.xxhash64(row_id, text).alias("row")), run, schema)
 
 
 def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=schema.names)
 
-    return docs.select(F.col(row_id), F.col(text)).mapInArrow(run, schema)
+    return arrow_map(docs.select(row_id, text), run, schema)
 
 
 def _likely(percent: int) -> Column:
@@ -158,14 +159,16 @@ def near_duplicates(
 ) -> DataFrame:
     """row_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept, per row.
 
+    `row` is a 64-bit hash of id and text, by which a result row can be joined to its input row.
+
     Documents are linked when the Jaccard similarity of their sets of distinct 3-word shingles (A-Z as a-z; a
     shorter text is one shingle) is at least `percent`. Null, empty and blank texts have no shingle and are
-    linked with nothing. Rows with a null id are linked with nothing, have no component and are kept. An id that
-    repeats must repeat its text to be told apart by it; equal rows give equal results. Other columns are not
-    read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of 4e-5.
+    linked with nothing. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
+    id and text count as one document and get equal results; an id that repeats with other texts has a result for
+    each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of 4e-5.
     """
     sketch = stored(_sketches(docs, row_id, text), "sketches")
-    light = sketch.select("id", "n_shingles", "h1", "h2")
+    light = sketch.select("id", "row", "n_shingles", "h1", "h2")
     linked = light.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = stored(linked.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = sketch.join(
@@ -206,10 +209,21 @@ def near_duplicates(
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component_id")
     )
-    joined = linked.join(named, ["h1", "h2"]).select("id", "n_shingles", "component_id")
+    joined = linked.join(named, ["h1", "h2"]).select("id", "row", "n_shingles", "component_id")
     alone = light.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select(
-        "id", "n_shingles", F.col("id").alias("component_id")
+        "id", "row", "n_shingles", F.col("id").alias("component_id")
     )
     return joined.unionByName(alone).select(
-        F.col("id").alias(row_id), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").alias(row_id),
+        "row",
+        "n_shingles",
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose document is the first of its component."""
+    later = near_duplicates(docs, percent, row_id, text).filter(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64(row_id, text))
+    return keyed.join(small_side(stored(later, "later-copies")), "_row", "left_anti").select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caselens.llm.common import slices
+from caselens.llm.common import arrow_map, slices
 from caselens.llm.tokens import encoder
 
 
@@ -141,4 +141,4 @@ def pack_documents(
         if rest:
             yield rows(rest, made)
 
-    return docs.select(row_id, text).mapInArrow(pack, schema)
+    return arrow_map(docs.select(row_id, text), pack, schema)

@@ -87,23 +87,23 @@ def measured(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
     """
     body = text_of(text)
     with_words = F.filter(F.split(body, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    long = lambda c: c.cast("bigint")
     plain = F.split(F.lower(body), BETWEEN_PLAIN_WORDS)
     step = docs.withColumns({"_words": word_array(body), "_lines": with_words, "_plain": plain})
     windows, pairs = _covered(F.col("_words"), window)
     step = step.withColumns({"_windows": windows}).withColumns({"_pairs": pairs})
-    step = step.withColumns(
-        {
-            "n_words": long(F.size("_words")),
-            "word_chars": long(F.length(F.array_join("_words", ""))),
-            "n_symbols": long(F.regexp_count(body, F.lit(SYMBOLS))),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_repeat_words": long(_repeat_words(window)),
-            "n_shouts": long(F.regexp_count(body, F.lit(SHOUTS))),
-            "n_stop_words": long(F.size(F.filter("_plain", lambda w: w.isin(*STOP_WORDS)))),
-        }
-    )
+    counts = {
+        "n_words": F.size("_words"),
+        "word_chars": F.length(F.array_join("_words", "")),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOLS)),
+        "n_lines": F.size("_lines"),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": _repeat_words(window),
+        "n_shouts": F.regexp_count(body, F.lit(SHOUTS)),
+        "n_stop_words": F.size(F.filter("_plain", lambda w: w.isin(*STOP_WORDS))),
+    }
+    # One row of counts, made by a generator: a filter on them is then not moved below and worked out twice.
+    own = F.inline(F.array(F.struct(*[c.cast("bigint").alias(n) for n, c in counts.items()])))
+    step = step.select(*[c for c in docs.columns if c not in counts], own)
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return step.withColumns(
         {
@@ -114,7 +114,7 @@ def measured(docs: DataFrame, text: str = "text", window: int = 5) -> DataFrame:
             "dup_line_ratio": per("n_dup_lines", "n_lines"),
             "base_failed": (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
         }
-    ).drop("_words", "_plain", "_lines", "_windows", "_pairs")
+    )
 
 
 def compiled(rules: Sequence[Rule] = RULES) -> Column:

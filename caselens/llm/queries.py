@@ -43,8 +43,8 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
@@ -55,6 +55,10 @@ def fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_lines.dedupe_lines(docs).select("doc_id", "n_lines", "dropped", "text")
 
 
+def sos_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +72,8 @@ def seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

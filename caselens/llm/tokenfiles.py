@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caselens.llm.common import slices
+from caselens.llm.common import arrow_map, slices
 from caselens.llm.tokens import encoder
 
 BLOCK = 65_536
@@ -164,7 +164,7 @@ def write_token_files(
 
     key = F.xxhash64(text)
     ordered = docs.select(F.col(row_id).cast("bigint").alias(row_id), text).repartitionByRange(row_id, key)
-    ordered.sortWithinPartitions(row_id, key, text).mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
+    arrow_map(ordered.sortWithinPartitions(row_id, key, text), write, MANIFEST).write.parquet(f"{path}/manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, row_id: str = "doc_id") -> DataFrame:
@@ -199,4 +199,4 @@ def read_token_files(spark: SparkSession, path: str, row_id: str = "doc_id") ->
                     at = end
 
     spread = shards.repartition(max(1, spark.sparkContext.defaultParallelism * 4), "file")
-    return spread.mapInArrow(read, f"{row_id} long, start long, n_tokens long, tokens binary")
+    return arrow_map(spread, read, f"{row_id} long, start long, n_tokens long, tokens binary")

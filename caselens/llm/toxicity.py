@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import slices
+from caselens.llm.common import arrow_map, slices
 from caselens.llm.words import MARKS, hash_spans, mix, words
 
 # Identity terms by group; a swap takes each term to the next of its group.
@@ -162,7 +162,7 @@ def fit(
         columns = [np.append(some, -1), np.append(total[0, some], texts[0]), np.append(total[1, some], texts[1])]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "plain", "toxic"])
 
-    counts = fitted.mapInArrow(count, "slot long, plain long, toxic long")
+    counts = arrow_map(fitted, count, "slot long, plain long, toxic long")
     counts = counts.groupBy("slot").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
     # One row per slot of the fixed table at most.
     table = {int(s): (int(p), int(t)) for s, p, t in counts.filter((F.col("plain") + F.col("toxic") >= MIN_TEXTS) | (F.col("slot") < 0)).collect()}
@@ -202,7 +202,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "own", "swapped"])
 
     # At most `sample` rows of the selected features.
-    rows = fitted.mapInArrow(extract, "label int, own array<long>, swapped array<long>").collect()
+    rows = arrow_map(fitted, extract, "label int, own array<long>, swapped array<long>").collect()
     rows.sort(key=lambda r: (r.label, r.own, r.swapped or []))  # the fit does not depend on the order of rows
     own = [np.array(r.own, dtype=np.int64) for r in rows]
     change = [
@@ -227,4 +227,4 @@ def score_documents(docs: DataFrame, model: Model, row_id: str = "doc_id", text:
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(part.column(text)))], names=schema.names)
 
-    return docs.select(row_id, text).mapInArrow(run, schema)
+    return arrow_map(docs.select(row_id, text), run, schema)
