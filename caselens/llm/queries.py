@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import decontaminate, fuzzy_lines, minhash, packing, pii, quality, tokenfiles, toxicity, warc
+from caselens.llm import decontaminate, fuzzy_lines, katz, minhash, packing, pii, quality, tokenfiles, toxicity, warc
 from caselens.llm.common import scratch, table
 
 
@@ -88,6 +88,11 @@ def fair_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return katz.score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 QUERIES = {
     "op1_bootstrapped_pii": bootstrapped_pii,
     "op2_sos_packing": sos_packing,
@@ -98,4 +103,5 @@ QUERIES = {
     "op7_seed_alignment": seed_alignment,
     "op8_bbit_minhash": bbit_minhash,
     "op9_fair_toxicity": fair_toxicity,
+    "op10_katz_scores": katz_scores,
 }
