@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The benchmark is taken in blocks of bounded size, each against all documents. For a block, one pass counts in
-how many documents each n-gram of its items occurs; the rarer half of an item's n-grams become its seeds, so
-an item keeps seeds however often it is copied. A second pass aligns the item with the text around every seed
+how many documents each n-gram of its items occurs. An item's seeds are its n-grams that are rare in the corpus
+or not much commoner than the item's others, so an item keeps seeds however often it is copied. A second pass aligns the item with the text around every seed
 a document holds. Both passes are maps: no text is shuffled.
 """
 
@@ -24,6 +24,8 @@ SEED_WORDS = 3
 SEGMENT = 512  # words of an item that are aligned at once
 BLOCK_BYTES = 8_000_000  # of benchmark text at once
 MIN_SCORE = 0.5
+RARE_DOCS, RARE_SHARE = 20, 1e-4  # an n-gram is rare in so many documents and this share of all
+COMMONER = 4  # times the median n-gram of the item that is found at all
 CELLS = 2_000_000  # of alignment tables worked on at once
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -105,7 +107,8 @@ def _aligned(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np
     places = np.arange(left.shape[1], dtype=np.int64)
     fresh = unit - 1 - places  # score 0, alignment starting here
     steps = places * unit * -GAP
-    before = np.broadcast_to(fresh, left.shape)
+    none = fresh - 1  # score 0: what follows starts one place later
+    before = np.broadcast_to(none, left.shape)
     best = np.zeros(len(left), dtype=np.int64)
     last = np.zeros(len(left), dtype=np.int64)
     for k in range(right.shape[1]):
@@ -115,7 +118,7 @@ def _aligned(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np
         now[:, 1:] = np.maximum(before[:, :-1], fresh[1:]) + gain[:, 1:]
         now = np.maximum(now, before + GAP * unit)
         now = np.maximum.accumulate(now + steps, axis=1) - steps
-        now = np.where(now < unit, fresh, now)
+        now = np.where(now < unit, none, now)
         top = now.argmax(axis=1)
         value = now[np.arange(len(now)), top]
         better = (value >> shift > best >> shift) & (k < sizes)
@@ -177,33 +180,37 @@ def matches(items: Items, column: pa.Array, min_score: float) -> tuple[np.ndarra
 
 
 def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
-    """The items with only their rarer n-grams: those in no more documents than the median one of the segment."""
+    """The items with only those n-grams that are rare, or not much commoner than the others of their segment."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams), dtype=np.int64)
+        total, rows = np.zeros(len(items.grams), dtype=np.int64), 0
         for batch in batches:
+            rows += batch.num_rows
             for part in slices(batch, text):
                 found = words(part.column(text), between=MARKS)
                 if len(found.hashes):
                     row, _, gram = _hits(items, found)
                     total += np.bincount(np.unique(row * len(total) + gram) % len(total), minlength=len(total))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "docs"])
+        columns = [np.append(some, -1), np.append(total[some], rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "docs"])
 
     if not len(items.grams):
         return items
     counted = arrow_map(docs.select(text), count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    table = dict(map(tuple, counted.collect()))  # one row per n-gram of the block at most, and the documents
+    rare = RARE_DOCS + RARE_SHARE * (table.pop(-1, 0) or 0)
     frequency = np.zeros(len(items.grams), dtype=np.int64)
-    for gram, n in counted.collect():  # one row per n-gram of the block at most
-        frequency[gram] = n
+    frequency[list(table)] = list(table.values())
     own = np.repeat(frequency, np.diff(items.at))
-    keep = np.zeros(len(own), dtype=bool)
-    order = np.lexsort((own, items.segment))
-    bounds = np.searchsorted(items.segment[order], np.arange(len(items.hashes) + 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        part = order[a:b]
-        keep[part] = own[part] <= own[part[(b - a - 1) // 2]]
-    return items.only(keep)
+    most = np.full(len(items.hashes), rare)
+    there = np.flatnonzero(own)
+    there = there[np.lexsort((own[there], items.segment[there]))]
+    bounds = np.searchsorted(items.segment[there], np.arange(len(items.hashes) + 1))
+    for k in np.flatnonzero(np.diff(bounds)):
+        a, b = bounds[k], bounds[k + 1]
+        most[k] = max(rare, COMMONER * own[there[a + (b - a - 1) // 2]])
+    return items.only(own <= most[items.segment])
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
