@@ -137,13 +137,22 @@ def with_search_columns(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns({"_low": F.lower(text), "_odd": odd})
 
 
+def known_fragments(
+    name: str, pattern: str, patterns: dict[str, str], fragments: dict[str, list[str]]
+) -> Sequence[str]:
+    """The plain fragments of a pattern: those listed for the pattern of that name, none for any other pattern."""
+    return fragments.get(name, ()) if patterns.get(name) == pattern else ()
+
+
 def matches(text: str, regex: str, fragments: Sequence[str]) -> Column:
     """text.rlike(regex), with the regex run only on text that holds a fragment of it.
 
     A plain search costs a small part of a case-blind regex, and most texts hold no fragment of most
     patterns. Text with a letter that lower case does not bring to ASCII but case-blind matching does
-    goes to the regex as well, so the result is always the same.
+    goes to the regex as well, so the result is always the same. Without fragments the regex always runs.
     """
+    if not fragments:
+        return F.col(text).rlike(regex)
     could = reduce(lambda a, b: a | b, [F.contains("_low", F.lit(f)) for f in fragments], F.col("_odd"))
     return could & F.col(text).rlike(regex)
 

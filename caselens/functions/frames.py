@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,30 +16,29 @@ from caselens.functions.exprs import draw_key
 BROADCAST_ROWS = 2_000_000
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names; a fresh local one only when Spark itself is local."""
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names (spark.checkpoint.dir).
+
+    Only where Spark itself is local and names none, a local one is made, once per session. On a cluster
+    without one it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="caselens-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    return None
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="caselens-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
     """Write the frame once to the shared folder and read it back, so lineage ends there.
 
     `even_files` spends a shuffle to write files of like size, for wide tables that are read often and
-    come out of joins that leave a few huge partitions. Where no shared folder is known the plan is
-    handed on as it is.
+    come out of joins that leave a few huge partitions.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if folder is None:
-        return df
-    path = f"{folder}/kept/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
     (df.hint("rebalance") if even_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

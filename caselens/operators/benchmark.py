@@ -16,6 +16,7 @@ from caselens.functions import rules
 from caselens.functions.exprs import (
     ascii_regex,
     focus_group,
+    known_fragments,
     matches,
     n_rows,
     percent,
@@ -202,9 +203,14 @@ def relief_by_sub_issue(c: DataFrame, focus: str, min_focus: int = 100) -> DataF
     )
 
 
-def _flagged(c: DataFrame, patterns: dict[str, str], fragments: dict[str, list[str]]) -> DataFrame:
+def _flagged(
+    c: DataFrame, patterns: dict[str, str], known: dict[str, str], fragments: dict[str, list[str]]
+) -> DataFrame:
     """One boolean per pattern, each matched once per text; the text itself goes no further."""
-    flags = [matches("narrative", ascii_regex(p), fragments[name]).alias(name) for name, p in patterns.items()]
+    flags = [
+        matches("narrative", ascii_regex(p), known_fragments(name, p, known, fragments)).alias(name)
+        for name, p in patterns.items()
+    ]
     return with_search_columns(c, "narrative").select("issuer", "month", "sub_issue", *flags)
 
 
@@ -212,12 +218,11 @@ def mentions_monthly(
     c: DataFrame,
     until: str = "2026-07-01",
     patterns: dict[str, str] = rules.MENTION_PATTERNS,
-    fragments: dict[str, list[str]] = rules.MENTION_FRAGMENTS,
 ) -> DataFrame:
     """Monthly keyword mentions in narratives, up to and including the month given."""
     told = c.filter(F.col("has_narrative") & (F.col("month") <= F.lit(until).cast("date")))
     both = [("platinum", "annual_fee"), ("sapphire_reserve", "annual_fee")]
-    return _flagged(told, patterns, fragments).groupBy("issuer", "month").agg(
+    return _flagged(told, patterns, rules.MENTION_PATTERNS, rules.MENTION_FRAGMENTS).groupBy("issuer", "month").agg(
         n_rows().alias("narratives"),
         *[F.count_if(name).alias(f"mentions_{name}") for name in patterns],
         *[F.count_if(F.col(a) & F.col(b)).alias(f"mentions_{a}_and_{b}") for a, b in both],
@@ -228,13 +233,12 @@ def keyword_evidence(
     c: DataFrame,
     focus: str,
     patterns: dict[str, str] = rules.EVIDENCE_PATTERNS,
-    fragments: dict[str, list[str]] = rules.EVIDENCE_FRAGMENTS,
     other: str = "Other issuers",
 ) -> DataFrame:
     """Keyword rates inside the value sub-issues, focus issuer against the others."""
     told = c.filter(F.col("has_narrative") & F.col("value_issue").isNotNull())
     return (
-        _flagged(told, patterns, fragments)
+        _flagged(told, patterns, rules.EVIDENCE_PATTERNS, rules.EVIDENCE_FRAGMENTS)
         .groupBy("sub_issue", focus_group("issuer", focus, other).alias("issuer_group"))
         .agg(
             n_rows().alias("narratives"),

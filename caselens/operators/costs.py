@@ -55,12 +55,14 @@ def ledger_status(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("model", "prompt_version", "mode", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def request_sizes(sample: DataFrame, pack_size: int = rules.PACK_SIZE) -> DataFrame:
+def request_sizes(
+    sample: DataFrame, pack_size: int = rules.PACK_SIZE, max_chars: int | None = None
+) -> DataFrame:
     """One row: sample_rows, requests, and average characters per request, without building packs.
 
     A request's text is its blocks with one blank line between two of them.
     """
-    blocks = request_blocks(sample)
+    blocks = request_blocks(sample, max_chars)
     sizes = blocks.agg(F.count(F.lit(1)).alias("sample_rows"), F.sum(F.length("block")).alias("chars"))
     requests = F.ceil(F.col("sample_rows") / pack_size)
     gaps = 2 * (F.col("sample_rows") - F.col("requests"))

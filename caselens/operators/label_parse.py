@@ -83,10 +83,11 @@ def _unique(values: Column) -> Column:
 
 
 # --- one label ---------------------------------------------------------------------------
-def check_items(df: DataFrame, item: str, problem: Column) -> DataFrame:
+def check_items(df: DataFrame, item: str, problem: Column, max_benefits: int | None = None) -> DataFrame:
     """Adds error and the label columns read from the variant column `item`.
 
-    `problem` is an error already known for the row; it wins over anything found here.
+    `problem` is an error already known for the row; it wins over anything found here. All named benefits are
+    kept unless `max_benefits` limits them.
     """
     v = F.col(item)
     fields = {f"_{n}": _field(v, n) for n in LABELS}
@@ -99,6 +100,7 @@ def check_items(df: DataFrame, item: str, problem: Column) -> DataFrame:
     # A JSON null inside an array may come back as a plain null.
     odd_item = F.exists("_items", lambda x: ~_absent(x) & (_kind(x) != "STRING"))
     cleaned = F.transform("_items", lambda x: F.when(~_absent(x), _clean(_text(x))))
+    benefits = _unique(F.array_compact(cleaned))
     parsed = (
         df.withColumns(fields)
         .withColumn("_items", items)
@@ -107,7 +109,7 @@ def check_items(df: DataFrame, item: str, problem: Column) -> DataFrame:
                 "_p": theme_key(_text(primary)),
                 "_s_text": F.when(_kind(second) == "STRING", _clean(_text(second))),
                 "_f": snake_key(F.coalesce(_text(felt), F.lit(""))),
-                "_b": F.slice(_unique(F.array_compact(cleaned)), 1, rules.MAX_NAMED_BENEFITS),
+                "_b": benefits if max_benefits is None else F.slice(benefits, 1, max_benefits),
                 "_c": F.when(_kind(product) == "STRING", _clean(_text(product))),
             }
         )
@@ -140,24 +142,25 @@ def check_items(df: DataFrame, item: str, problem: Column) -> DataFrame:
     )
 
 
-def parse_labels(df: DataFrame, raw_col: str) -> DataFrame:
+def parse_labels(df: DataFrame, raw_col: str, max_benefits: int | None = None) -> DataFrame:
     """Adds status (ok or parse_error), error and the label columns of one response per row."""
     block = json_object(F.col(raw_col))
     found = F.coalesce(block != "", F.lit(False))
     problem = F.when(~found, NO_JSON).when(F.col("_v").isNull(), BAD_JSON)
     return (
-        check_items(df.withColumn("_v", F.when(found, F.try_parse_json(block))), "_v", problem)
+        check_items(df.withColumn("_v", F.when(found, F.try_parse_json(block))), "_v", problem, max_benefits)
         .withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("parse_error"))
         .select(*df.columns, "status", "error", *LABELS)
     )
 
 
 # --- packs -------------------------------------------------------------------------------
-def parse_packs(responses: DataFrame) -> DataFrame:
+def parse_packs(responses: DataFrame, max_benefits: int | None = None) -> DataFrame:
     """One ledger row per complaint that was asked about, from responses that cover several.
 
     `responses` has pack_id, model, prompt_version, mode, ids, truncated_ids, raw, stop_reason and the
-    pack's token counts, which are split evenly. Labels are matched by the id echoed back; an id that
+    pack's token counts, which are split evenly; a column seq (the order of the attempts, needed by the ledger) is
+    handed on. Labels are matched by the id echoed back; an id that
     is missing, repeated or badly labelled is an error of that row alone. Everything happens inside
     the row of the pack and the rows exploded from it, so nothing is shuffled.
     """
@@ -187,7 +190,7 @@ def parse_packs(responses: DataFrame) -> DataFrame:
     matched = one_each.withColumn("_own", own).withColumn("_item", F.get("_own", F.lit(0)))
     no_item = F.when(F.size("_own") == 0, ID_MISSING).when(F.size("_own") > 1, ID_TWICE)
     problem = F.when(refused, F.lit("refusal")).otherwise(F.coalesce("_pack_error", no_item))
-    checked = check_items(matched, "_item", problem)
+    checked = check_items(matched, "_item", problem, max_benefits)
     status = (
         F.when(refused, "refusal")
         .when(F.col("_pack_error").isNotNull() & F.col("stop_reason").eqNullSafe("max_tokens"), "output_cut_off")
@@ -195,7 +198,9 @@ def parse_packs(responses: DataFrame) -> DataFrame:
         .when(F.col("error").isNotNull(), "parse_error")
         .otherwise("ok")
     )
+    order = ["seq"] if "seq" in responses.columns else []
     return checked.select(
+        *order,
         F.col("_id").cast("bigint").alias("complaint_id"),
         "model",
         "prompt_version",

@@ -33,7 +33,8 @@ def current_labels(ledger: DataFrame, prompt_version: str, model: str | None = N
         .agg(F.max_by("model", F.struct(wanted, "labels", "model")).alias("model"))
         .scalar()
     )
-    last = Window.partitionBy("complaint_id").orderBy(F.desc("seq"))
+    # Attempts with the same place are ordered by their content, so the choice never depends on row order.
+    last = Window.partitionBy("complaint_id").orderBy(F.desc_nulls_last("seq"), F.desc(F.xxhash64(*LABEL_COLUMNS)))
     return (
         valid.filter(F.col("model") == chosen)
         .withColumn("_n", F.row_number().over(last))

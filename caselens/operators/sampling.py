@@ -130,14 +130,16 @@ def keyword_seeds(
     return corpus.join(small_or_plain(keep(drawn, "seeds")), row_id)
 
 
-def prepared_text(narrative, max_chars: int):
-    """(text as sent, whether it was cut): white space around it removed, cut with a marker."""
+def prepared_text(narrative, max_chars: int | None = None):
+    """(text as sent, whether it was cut): white space around it removed; cut with a marker if a limit is given."""
     text = F.regexp_replace(narrative, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    if max_chars is None:
+        return text, F.lit(False)
     cut = F.length(text) > max_chars
     return F.when(cut, F.concat(F.substring(text, 1, max_chars), F.lit(rules.CUT_MARKER))).otherwise(text), cut
 
 
-def request_blocks(rows: DataFrame, max_chars: int = rules.MAX_NARRATIVE_CHARS, row_id: str = "complaint_id") -> DataFrame:
+def request_blocks(rows: DataFrame, max_chars: int | None = None, row_id: str = "complaint_id") -> DataFrame:
     """Each row's block of a request: id, block text and whether the narrative was cut."""
     text, cut = prepared_text(F.col("narrative"), max_chars)
     block = F.concat(
@@ -149,15 +151,17 @@ def request_blocks(rows: DataFrame, max_chars: int = rules.MAX_NARRATIVE_CHARS,
 def request_packs(
     rows: DataFrame,
     pack_size: int = rules.PACK_SIZE,
-    max_chars: int = rules.MAX_NARRATIVE_CHARS,
+    max_chars: int | None = None,
     seed: int = rules.PACK_SEED,
     row_id: str = "complaint_id",
 ) -> DataFrame:
-    """Rows in seeded random order, cut into packs of `pack_size`; each row is in one pack.
+    """Rows in seeded random order, cut into packs of `pack_size`; each row is in one pack, with its whole text
+    unless `max_chars` limits it.
 
     Packs are numbered over all rows without a global sort. A pack is one group of at most pack_size.
     """
-    ranked = shuffled_rank(request_blocks(rows, max_chars, row_id), row_id, seed)
+    # Ids alone are ranked; the texts join them afterwards.
+    ranked = shuffled_rank(rows.select(row_id), row_id, seed).join(request_blocks(rows, max_chars, row_id), row_id)
     item = F.struct("rank", row_id, "block", "cut")
     packs = (
         ranked.groupBy(F.floor((F.col("rank") - 1) / pack_size).cast("bigint").alias("pack_id"))

@@ -195,15 +195,16 @@ def predict_themes(
 
 
 def predict_on_terms(model: ThemeModel, docs: DataFrame) -> DataFrame:
-    """Scores documents given as rows with `terms`; their other columns identify them."""
+    """Scores documents given as rows with `terms`, each row by itself; equal rows stay separate."""
     columns = [c for c in docs.columns if c != "terms"]
+    docs = docs.withColumn("_row", F.monotonically_increasing_id())
     x = F.coalesce(_tfidf(), F.lit(0.0))
     classes = range(len(model.classes))
     sums = (
         _one_per_term(docs)
         .join(F.broadcast(model.vocabulary), "term", "left")
         .withColumn("x", x)
-        .groupBy(*columns)
+        .groupBy("_row", *columns)
         .agg(
             F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"),
             *[F.sum(F.coalesce(F.col("x") * F.get("coef", F.lit(k)), F.lit(0.0))).alias(f"s{k}") for k in classes],

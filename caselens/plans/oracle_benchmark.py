@@ -311,9 +311,8 @@ FROM mapped GROUP BY source_file""",
   FROM sample)
 SELECT pos // 8 AS pack_id, array_to_string(list(complaint_id ORDER BY pos), ',') AS ids,
   string_agg('<complaint id="' || complaint_id || '">' || chr(10) ||
-    CASE WHEN length(body) > 6000 THEN left(body, 6000) || chr(10) || '[narrative cut here for length]' ELSE body END
-    || chr(10) || '</complaint>', chr(10) || chr(10) ORDER BY pos) AS text,
-  coalesce(string_agg(complaint_id::VARCHAR, ',' ORDER BY pos) FILTER (length(body) > 6000), '') AS truncated_ids
+    body || chr(10) || '</complaint>', chr(10) || chr(10) ORDER BY pos) AS text,
+  '' AS truncated_ids
 FROM ordered GROUP BY 1""",
     ),
 }

@@ -167,7 +167,7 @@ SQL["cost_projection"] = over(
     body=f""", body AS (SELECT complaint_id, regexp_replace(narrative, '^\\s+|\\s+$', '', 'g') AS t FROM sample),
 sizes AS (SELECT count(*) AS n, ceil(count(*) / 8.0)::BIGINT AS requests,
     sum(length('<complaint id="' || complaint_id || '">') + 2 + length('</complaint>')
-      + CASE WHEN length(t) > 6000 THEN 6000 + 1 + length('[narrative cut here for length]') ELSE length(t) END) AS chars FROM body),
+      + length(t)) AS chars FROM body),
 plan AS (
   SELECT p.*, c.scenario, s.n, s.requests, s.requests::DOUBLE AS f,
     ((s.chars + 2 * (s.n - s.requests))::DOUBLE / s.requests) / 3.3::DOUBLE + 40 AS user_tokens,

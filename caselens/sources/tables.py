@@ -115,7 +115,11 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(records: DataFrame, path: str) -> None:
-    """Adds attempts. Nothing already written is touched."""
+    """Adds attempts. Nothing already written is touched. Every attempt needs its place in the order (seq)."""
+    if "seq" not in records.columns:
+        raise ValueError("ledger records need a seq")
+    no_order = F.raise_error(F.lit("a ledger record has no seq")).cast("bigint")
+    records = records.withColumn("seq", F.coalesce(F.col("seq").cast("bigint"), no_order))
     missing = {n: F.lit(None).cast(t) for n, t in LEDGER_TYPES.items() if n not in records.columns}
     records.withColumns(missing).select(*LEDGER_TYPES).write.mode("append").json(path)
 

@@ -59,3 +59,12 @@ def test_lookalike_letters_reach_the_regex(spark):
 
 def test_no_cut_of_long_texts(spark):
     assert themes_of(spark, "word " * 40_000 + "and at last an identity theft") == [["dispute_fraud"]]
+
+
+def test_a_callers_own_rules_need_no_fragments(spark):
+    from caselens.operators.keywords import with_keyword_themes
+
+    df = spark.createDataFrame([(1, "An annuity was sold"), (2, "annual fee"), (3, None)], "id int, narrative string")
+    own = {"annual_fee": r"\bannuity\b", "brand_new": r"\bsold\b"}
+    got = {r.id: r.themes for r in with_keyword_themes(df, themes=own).collect()}
+    assert got == {1: ["annual_fee", "brand_new"], 2: [], 3: []}

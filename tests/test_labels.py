@@ -66,12 +66,12 @@ def test_nullish_words_are_null(spark, word):
     assert (r.status, r.secondary_theme, r.card_product, r.named_benefits) == ("ok", None, None, ["x"])
 
 
-def test_benefits_are_unique_ignoring_case_and_at_most_five(spark):
+def test_benefits_are_unique_ignoring_case(spark):
     many = ["Resy", "resy ", "", "RESY", "a  b", "A b", "c", "d", "e", "f"]
     as_text = GOOD | {"named_benefits": "One thing"}
     missing = {k: v for k, v in GOOD.items() if k != "named_benefits"}
     rows = parse(spark, GOOD | {"named_benefits": many}, as_text, missing, GOOD | {"named_benefits": None})
-    assert [r.named_benefits for r in rows] == [["Resy", "a b", "c", "d", "e"], ["One thing"], [], []]
+    assert [r.named_benefits for r in rows] == [["Resy", "a b", "c", "d", "e", "f"], ["One thing"], [], []]
 
 
 # --- packs -------------------------------------------------------------------------------
@@ -173,3 +173,31 @@ def test_label_source_follows_coverage(spark, ledger):
     assert [(r.primary_theme, r.weight, r.sentiment, r.label_source) for r in got] == [
         ("billing", 15.0, None, "x"), ("other", 15.0, None, "x"),
     ]
+
+
+def test_a_ledger_holds_together_in_any_row_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from caselens.functions import rules
+    from caselens.operators import label_parse, labels
+    from caselens.sources import tables
+
+    raw = '{"results": [{"id": "1", "primary_theme": "%s", "sentiment": "negative"}]}'
+    known = [t for t in rules.THEME_RULES][:2]
+    packs = [(k, f"p{k}", "m", "v1", "batch", [1], [], raw % t, "end", 1.0, 1.0, 0.0, 0.0) for k, t in enumerate(known)]
+    schema = (
+        "seq long, pack_id string, model string, prompt_version string, mode string, ids array<long>, truncated_ids array<long>, "
+        "raw string, stop_reason string, input_tokens double, output_tokens double, cache_read_tokens double, cache_write_tokens double"
+    )
+    chosen = set()
+    for n, order in enumerate((packs, packs[::-1])):
+        path = f"{tmp_path}/ledger{n}"
+        for p in order:
+            tables.append_ledger(label_parse.parse_packs(spark.createDataFrame([p], schema)), path)
+        chosen.add(labels.current_labels(tables.read_ledger(spark, path), "v1").first().primary_theme)
+    assert chosen == {known[1]}
+    unordered = label_parse.parse_packs(spark.createDataFrame(packs, schema).drop("seq"))
+    with pytest.raises(ValueError):
+        tables.append_ledger(unordered, f"{tmp_path}/ledger9")
+    with pytest.raises(Exception, match="no seq"):
+        tables.append_ledger(unordered.withColumn("seq", F.lit(None).cast("long")), f"{tmp_path}/ledger9")

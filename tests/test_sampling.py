@@ -96,7 +96,9 @@ def test_packs_hold_every_row_once(spark, pool):
 
 def test_long_narratives_are_cut_and_flagged(spark):
     df = spark.createDataFrame([(1, "x" * 6500), (2, "  short.\n ")], "complaint_id bigint, narrative string")
-    pack = sampling.request_packs(df).first()
+    whole = sampling.request_packs(df).first()
+    assert whole.truncated_ids == [] and "x" * 6500 in whole.text
+    pack = sampling.request_packs(df, max_chars=6000).first()
     assert pack.truncated_ids == [1]
     assert "x" * 6000 + "\n[narrative cut here for length]" in pack.text and "x" * 6001 not in pack.text
     assert '<complaint id="2">\nshort.\n</complaint>' in pack.text

@@ -89,3 +89,13 @@ def test_cross_validation(spark):
 def test_share(spark):
     df = spark.createDataFrame([("a",)] * 2 + [("b",)], "primary_theme string")
     assert {r.primary_theme: r.share_pct for r in textmodel.theme_model_share(df).collect()} == {"a": 66.7, "b": 33.3}
+
+
+def test_equal_rows_are_scored_one_by_one(spark):
+    from caselens.operators import textmodel
+
+    rows = [("a", "fee fee charged again"), ("a", "fee fee charged again"), ("b", "points points lost today")] * 6
+    train = spark.createDataFrame([(k, t, "x" if i == "a" else "y") for k, (i, t) in enumerate(rows)], "id int, text string, theme string")
+    model = textmodel.fit_theme_model(train, "id", "text", "theme")
+    scored = textmodel.predict_themes(model, train.select("text"), "text").collect()
+    assert len(scored) == len(rows)
