@@ -35,7 +35,7 @@ SHARE = 65_536  # a context word makes up at least 1 / SHARE of the tokens
 TOP = 5  # counts that are discounted
 END = np.uint64(1)  # stands for the end of a text
 NONE = np.uint32(0xFFFFFFFF)
-TOKENS_A_PART = 2_500_000
+TOKENS_A_PART = 4_500_000  # what a task of numpy arrays of about 300 MB can sum up
 
 
 def _katz(n: list[float]) -> list[float] | None:
@@ -262,50 +262,58 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Sums per document and context of one partition's entries, and its counts of counts."""
     columns: list[list[np.ndarray]] = [[] for _ in range(6)]
     docs = 0
-    for blob in blobs:
-        own = read_blob(blob)
+    while blobs:
+        own = read_blob(blobs.pop())
         for k, a in enumerate(own):
             columns[k].append(a + np.uint32(docs) if k == 4 else a)
         docs += len(own[0])
-    keys, train, word, context, doc, times = (np.concatenate(c) for c in columns)
+    times, doc, context, word, train, keys = (np.concatenate(columns.pop()) for _ in range(6))
     order = np.lexsort((context, word))
-    word, context, doc, times = word[order], context[order], doc[order], times[order].astype(np.int64)
+    word, context, doc, times = word[order], context[order], doc[order], times[order]
+    del order
     new_word = np.ones(len(word), dtype=bool)
-    new_word[1:] = np.diff(word) != 0
+    new_word[1:] = word[1:] != word[:-1]
     new_pair = new_word.copy()
-    new_pair[1:] |= np.diff(context) != 0
+    new_pair[1:] |= context[1:] != context[:-1]
     at_word, at_pair = np.flatnonzero(new_word), np.flatnonzero(new_pair)
     counted = times * train[doc]
-    word_of, pair_of = np.cumsum(new_word) - 1, np.cumsum(new_pair) - 1
-    count = np.add.reduceat(counted, at_word)
+    count = np.add.reduceat(counted, at_word, dtype=np.int64)
+    pair = np.add.reduceat(counted, at_pair, dtype=np.int64)
+    del counted
     code = model.code(word[at_word])
     often = code != NONE
     count[often] = model.counts[code[often]]
-    pair = np.add.reduceat(counted, at_pair)
-    paired = context[at_pair] != NONE
+    paired, context = context[at_pair] != NONE, context[at_pair]
     log_p, p = model.log_p(count), model.p(count)
-    rare = ~often[word_of]
+    del word
+    word_of = np.cumsum(new_word, dtype=np.int32) - np.int32(1)
+    pair_of = np.cumsum(new_pair, dtype=np.int32) - np.int32(1)
     size = np.where(paired, pair, -1)[pair_of]  # -1: no context
-    backed = size <= 0
     ukeys, doc_key = np.unique(keys, return_inverse=True)
-    doc = doc_key[doc]
-    add = lambda mask, weight: np.bincount(doc[mask], weights=weight[mask], minlength=len(ukeys))
-    base, known = model.base(count)[word_of] * times, (count > 0)[word_of] * times
-    log_sum = np.where(backed, log_p[word_of], np.where(size > TOP, np.log10(np.maximum(size, 1)), 0.0)) * times
-    ones = {f"k{r}": add(size == r, times) for r in range(1, TOP + 1)}
-    yield _rows(_DOC, ukeys, base=add(rare, base), known=add(rare, known), log_sum=add(slice(None), log_sum), **ones)
-    seen = paired & (pair > 0)
-    h, c = context[at_pair][seen].astype(np.int64), pair[seen]
+    doc = doc_key.astype(np.int32)[doc]
+    add = lambda weight: np.bincount(doc, weights=weight, minlength=len(ukeys))
+    # Frequent words have their own part of these sums where the text is.
+    base = add(np.where(often, 0.0, model.base(count))[word_of] * times)
+    known = add((~often & (count > 0))[word_of] * times)
+    backed = size <= 0
+    log_sum = add(np.where(backed, log_p[word_of], np.log10(np.maximum(size, 1)) * (size > TOP)) * times)
+    ones = {f"k{r}": add((size == r) * times) for r in range(1, TOP + 1)}
+    yield _rows(_DOC, ukeys, base=base, known=known, log_sum=log_sum, **ones)
+    event = size == 0
     n = model.start + 1
+    spot = doc[event].astype(np.int64) * (n + 1) + context[pair_of[event]]
+    place, back = np.unique(spot, return_inverse=True)
+    often_there = np.bincount(back, weights=times[event], minlength=len(place))
+    yield _rows(_EVENT, ukeys[place // (n + 1)], known=often_there, k1=place % (n + 1))
+    word_of = word_of[at_pair]
+    del doc, times, size, pair_of, backed, event, spot
+    seen = paired & (pair > 0)
+    h, c = context[seen].astype(np.int64), pair[seen]
     by_h = {f"k{r}": np.bincount(h[c == r], minlength=n) for r in range(1, TOP + 1)}
     big = np.bincount(h[c > TOP], weights=c[c > TOP], minlength=n)
-    mass = np.bincount(h, weights=p[np.cumsum(new_word)[at_pair][seen] - 1], minlength=n)
+    mass = np.bincount(h, weights=p[word_of[seen]], minlength=n)
     some = np.flatnonzero(np.bincount(h, minlength=n))
     yield _rows(_CONTEXT, some, log_sum=big[some], p_sum=mass[some], **{k: v[some] for k, v in by_h.items()})
-    event = size == 0
-    spot = doc[event].astype(np.int64) * (n + 1) + context[event]
-    place, back = np.unique(spot, return_inverse=True)
-    yield _rows(_EVENT, ukeys[place // (n + 1)], known=np.bincount(back, weights=times[event], minlength=len(place)), k1=place % (n + 1))
     yield _rows(_COUNTS, np.zeros(1), **{f"k{r}": np.array([(c == r).sum()]) for r in range(1, TOP + 2)})
 
 
@@ -362,7 +370,8 @@ def score_texts(docs: DataFrame, held_out: Column, row_id: str = "doc_id", text:
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     ).withColumn("train", ~F.col("held_out"))
     model = fit_words(stored(count_words(rows.filter("train")), "katz-words"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.tokens // TOKENS_A_PART))
+    # Each document has a row of sums for each part, so there are no more parts than memory asks for.
+    parts = max(1, -(-model.tokens // TOKENS_A_PART))
     keys = _part_keys(docs, parts)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
