@@ -46,7 +46,24 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM f
 """
 
+OP8 = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+s AS (SELECT doc_id, CASE
+    WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM t),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k, any_value(a.n) + any_value(b.n) AS n
+      FROM e a JOIN e b USING (x) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 100 * k >= 85 * (n - k)),
+ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT ways.b, reach.c FROM reach JOIN ways ON reach.id = ways.a WHERE reach.c < ways.b),
+least AS (SELECT id, min(c) AS c FROM reach GROUP BY 1)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM s JOIN least ON doc_id = id
+"""
+
 SQL = {
     "op3_quality_rules": OP3,
     "op4_warc_archive": OP4,
+    "op8_bbit_minhash": OP8,
 }
