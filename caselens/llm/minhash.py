@@ -6,9 +6,9 @@ half of all unequal minima whose bits agree by chance; those not clearly below t
 their full shingle sets.
 
 Groups of copies never meet pair by pair. Equal sets are one class with one representative. Of the classes in a
-band, each is first compared with the smallest only; confirmed links join them to components; then, in bands
-that still hold several components, classes of different components are compared. So every link between
-different sets counts that could still join two components.
+band, each is first compared with one centre only, another one in every band and round; confirmed links join them
+to components; then, in bands that still hold several components, classes of different components are compared.
+So no link between different sets is lost that could join two components.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ PERCENT = 85  # similarity from which documents are linked, in percent
 BANDS, BAND_ROWS = 32, 8
 MINIMA = BANDS * BAND_ROWS
 PACKED = MINIMA // 64
+STAR_ROUNDS = 3
 MARGIN = 0.17  # five standard deviations of the estimate at the threshold
 
 _RNG = np.random.default_rng(20240229)
@@ -82,7 +83,7 @@ _BITS = [f"s{k}" for k in range(PACKED)]
 
 def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     """row_id, row (hash of id and text), n_shingles, a 128-bit hash of the set (h1, h2), packed bits and band keys of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[row_id].dataType), T.StructField("row", T.LongType())])
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType())])
     for name in ("n_shingles", "h1", "h2", *_BITS):
         schema = schema.add(name, T.LongType())
     schema = schema.add("bands", T.ArrayType(T.LongType()))
@@ -114,7 +115,7 @@ def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
                     names=schema.names,
                 )
 
-    return arrow_map(docs.select(row_id, text, F.xxhash64(row_id, text).alias("row")), run, schema)
+    return arrow_map(docs.select(F.col(row_id).cast("bigint"), text, F.xxhash64(row_id, text).alias("row")), run, schema)
 
 
 def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -139,19 +140,21 @@ def _likely(percent: int) -> Column:
     return (100 * small >= percent * big) & (estimate >= percent / 100 - MARGIN)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, row_id: str, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias(row_id)).distinct()
-    sets = stored(_sets(docs.select(row_id, text).join(wanted, row_id, "left_semi"), row_id, text), "shingles").dropDuplicates(["id"])
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The stored pairs (a, b) whose full sets are similar enough. Only sets of paired documents are moved."""
+    few = small_side(pairs)
+    left = sets.join(few, F.col("id") == F.col("a")).select("a", "b", F.col("shingles").alias("x"))
+    right = sets.join(few, F.col("id") == F.col("b")).select("a", "b", F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(100 * common >= percent * (F.size("x") + F.size("y") - common))
-        .select("a", "b")
-    )
+    both = left.join(right, ["a", "b"])
+    return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members (band, id) with their component so far."""
+    if parts is None:
+        return members.select("band", "id", F.col("id").alias("component"))
+    return members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(
@@ -163,7 +166,7 @@ def near_duplicates(
 
     Documents are linked when the Jaccard similarity of their sets of distinct 3-word shingles (A-Z as a-z; a
     shorter text is one shingle) is at least `percent`. Null, empty and blank texts have no shingle and are
-    linked with nothing. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
+    linked with nothing. Ids are integers. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
     id and text count as one document and get equal results; an id that repeats with other texts has a result for
     each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of 4e-5.
     """
@@ -177,33 +180,47 @@ def near_duplicates(
     reps = stored(reps.select("id", "n_shingles", *_BITS, "bands"), "representatives")
     bits = reps.drop("bands")
 
-    # Bands that hold more than one class, and their members.
+    # Bands that hold more than one class, their members, and the full sets of those.
     rows = reps.select("id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(rows.join(shared.drop("n"), "band"), "band-members")
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bits.alias("a"), F.col("x") == F.col("a.id")).join(bits.alias("b"), F.col("y") == F.col("b.id"))
-        return both.filter(_likely(percent)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    stars = members.filter("id > least").select(F.col("least").alias("x"), F.col("id").alias("y")).distinct()
-    stars = stored(likely(stars), "star-pairs")
-    links = stored(_confirmed(stars, docs, row_id, text, percent), "star-links")
-    parts = components(links, "parts")
-
-    # Classes of different components that still share a band.
-    label = F.coalesce("component", "id").alias("component")
-    placed = members.select("band", "id").join(parts, "id", "left").select("band", "id", label)
+    shared = rows.groupBy("band").agg(F.min("id").alias("c1"), F.max("id").alias("c2")).filter("c1 < c2")
+    members = stored(rows.join(small_side(stored(shared.select("band"), "bands")), "band", "left_semi"), "band-members")
+    wanted = stored(members.select("id").distinct(), "wanted")
+    texts = docs.select(F.col(row_id).cast("bigint").alias("id"), text).join(small_side(wanted), "id", "left_semi")
+    sets = stored(_sets(texts, "id", text), "shingles")
+    sketched = bits.join(small_side(wanted), "id", "left_semi")
+
+    # Rounds of stars, each band about a centre of its own, among classes not yet in one component.
+    links = parts = None
+    for turn in range(STAR_ROUNDS):
+        placed = _placed(members, parts)
+        flip = F.xxhash64("band", F.lit(turn))
+        centre = placed.groupBy("band").agg(
+            F.min(F.col("id").bitwiseXOR(flip)).alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2")
+        )
+        centre = centre.filter("c1 < c2").select("band", F.col("c").bitwiseXOR(flip).alias("centre"))
+        ends = placed.join(small_side(stored(centre, "centres")), "band").filter("id <> centre")
+        label = _placed(ends.select("band", F.col("centre").alias("id")).distinct(), parts)
+        label = label.select("band", F.col("component").alias("other"))
+        pairs = ends.join(label, "band").filter("component <> other") if turn else ends
+        pairs = pairs.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
+        both = pairs.join(sketched.alias("a"), F.col("x") == F.col("a.id")).join(sketched.alias("b"), F.col("y") == F.col("b.id"))
+        pairs = stored(both.filter(_likely(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")), "star-pairs")
+        found = stored(_confirmed(pairs, sets, percent), "star-links")
+        links = found if links is None else links.unionByName(found)
+        parts = components(links, "parts")
+
+    # Whatever could still join two components.
+    placed = _placed(members, parts)
     mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
-    open_rows = stored(placed.join(mixed.select("band"), "band", "left_semi").join(bits, "id"), "open-rows")
+    open_rows = placed.join(small_side(stored(mixed.select("band"), "mixed")), "band", "left_semi").join(sketched, "id")
+    open_rows = stored(open_rows, "open-rows")
     across = (
         open_rows.alias("a")
         .join(open_rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.component") < F.col("b.component")) & _likely(percent))
         .select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")
     )
-    more = _confirmed(stored(across, "cross-pairs"), docs, row_id, text, percent)
+    more = _confirmed(stored(across, "cross-pairs"), sets, percent)
     final = components(links.unionByName(more), "components")
 
     named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
