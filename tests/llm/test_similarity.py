@@ -51,15 +51,13 @@ def test_near_duplicates_edges(spark):
 
 
 def norm(line):
-    import regex
-
-    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+    return line.lower().strip(" \t\n\x0b\f\r") if any(c.isalnum() for c in line) else ""
 
 
 def simhash(text):
     import xxhash
 
-    ws = text.split(" ")
+    ws = [w for w in text.split(" ") if w]
     hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in ws]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(ws))
 
@@ -97,7 +95,7 @@ def test_fuzzy_lines(spark):
         (a, b)
         for x, a in enumerate(keys)
         for b in keys[:x]
-        if (sims[a] ^ sims[b]).bit_count() <= 3 and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+        if (sims[a] ^ sims[b]).bit_count() <= fuzzy_lines.DISTANCE and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
     ]
     assert links
     group = classes(keys, links)
