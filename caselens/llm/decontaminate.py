@@ -1,9 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-The benchmark is taken in blocks of bounded size, each against all documents. For a block, one pass counts in
-how many documents each n-gram of its items occurs. An item's seeds are its n-grams that are rare in the corpus
-or not much commoner than the item's others, so an item keeps seeds however often it is copied. A second pass aligns the item with the text around every seed
-a document holds. Both passes are maps: no text is shuffled.
+The benchmark is taken in blocks of bounded size, each against all documents. Every n-gram of an item is a seed,
+however common it is. The item is aligned with the text around the seeds a document holds, unless that text has
+too few of the item's words in any order to reach the score. All is one map: no text is shuffled.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ SEED_WORDS = 3
 SEGMENT = 512  # words of an item that are aligned at once
 BLOCK_BYTES = 8_000_000  # of benchmark text at once
 MIN_SCORE = 0.5
-RARE_DOCS, RARE_SHARE = 20, 1e-4  # an n-gram is rare in so many documents and this share of all
-COMMONER = 4  # times the median n-gram of the item that is found at all
 CELLS = 2_000_000  # of alignment tables worked on at once
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -45,13 +42,6 @@ class Items:
     offset: np.ndarray
     sizes: list[int]
 
-    def only(self, keep: np.ndarray) -> Items:
-        """With those gram entries alone."""
-        gram = np.repeat(np.arange(len(self.grams)), np.diff(self.at))[keep]
-        used, back = np.unique(gram, return_inverse=True)
-        at = np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(used)))])
-        return Items(self.item, self.hashes, self.grams[used], at, self.segment[keep], self.offset[keep], self.sizes)
-
 
 def _gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(runs(hashes, n) + np.uint64(n))
@@ -128,6 +118,28 @@ def _aligned(left: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np
     return (best >> shift) / (MATCH * sizes), unit - 1 - (best & (unit - 1)), last
 
 
+def _possible(items: Items, hashes: np.ndarray, segment: np.ndarray, low: np.ndarray, high: np.ndarray, min_score: float) -> np.ndarray:
+    """Whether each window has enough of its segment's words, in any order, to reach the score.
+
+    An alignment pairs each word of window and segment at most once, so its score is at most the share of the
+    segment's words that the window has, each as often as in both.
+    """
+    out = np.zeros(len(segment), dtype=bool)
+    todo = np.argsort(segment, kind="stable")
+    for own in np.split(todo, np.flatnonzero(np.diff(segment[todo])) + 1):
+        word, need = np.unique(items.hashes[segment[own[0]]], return_counts=True)
+        step = np.cumsum((high - low)[own] + len(word)) // CELLS  # so many windows at once as fit
+        for now in np.split(own, np.flatnonzero(np.diff(step)) + 1):
+            wide = (high - low)[now]
+            window = np.repeat(np.arange(len(now)), wide)
+            there = hashes[np.arange(len(window)) + np.repeat(low[now] - (np.cumsum(wide) - wide), wide)]
+            at = np.minimum(np.searchsorted(word, there), len(word) - 1)
+            ok = word[at] == there
+            have = np.bincount(window[ok] * len(word) + at[ok], minlength=len(now) * len(word)).reshape(len(now), len(word))
+            out[now] = np.minimum(have, need).sum(axis=1) >= min_score * need.sum() - 1e-9
+    return out
+
+
 def matches(items: Items, column: pa.Array, min_score: float) -> tuple[np.ndarray, ...]:
     """(row, item, score, first word, last word) of the passages of a batch that score enough, best per pair."""
     found = words(column, between=MARKS)
@@ -153,6 +165,8 @@ def matches(items: Items, column: pa.Array, min_score: float) -> tuple[np.ndarra
     slack = size[segment] // 4 + 4
     low = np.maximum(low - slack, found.first[row])
     high = np.minimum(high + size[segment] + slack, found.first[row + 1])
+    some = _possible(items, found.hashes, segment, low, high, min_score)
+    row, segment, low, high = row[some], segment[some], low[some], high[some]
     wide, long = high - low, size[segment]
     score, begin, close = np.empty(len(row)), np.empty(len(row), dtype=np.int64), np.empty(len(row), dtype=np.int64)
     todo = np.lexsort((long, wide))
@@ -179,40 +193,6 @@ def matches(items: Items, column: pa.Array, min_score: float) -> tuple[np.ndarra
     return row[lead], item[lead], score[lead], begin[lead], close[lead]
 
 
-def seeds(docs: DataFrame, items: Items, text: str = "text") -> Items:
-    """The items with only those n-grams that are rare, or not much commoner than the others of their segment."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(items.grams), dtype=np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for part in slices(batch, text):
-                found = words(part.column(text), between=MARKS)
-                if len(found.hashes):
-                    row, _, gram = _hits(items, found)
-                    total += np.bincount(np.unique(row * len(total) + gram) % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
-        columns = [np.append(some, -1), np.append(total[some], rows)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "docs"])
-
-    if not len(items.grams):
-        return items
-    counted = arrow_map(docs.select(text), count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    table = dict(map(tuple, counted.collect()))  # one row per n-gram of the block at most, and the documents
-    rare = RARE_DOCS + RARE_SHARE * (table.pop(-1, 0) or 0)
-    frequency = np.zeros(len(items.grams), dtype=np.int64)
-    frequency[list(table)] = list(table.values())
-    own = np.repeat(frequency, np.diff(items.at))
-    most = np.full(len(items.hashes), rare)
-    there = np.flatnonzero(own)
-    there = there[np.lexsort((own[there], items.segment[there]))]
-    bounds = np.searchsorted(items.segment[there], np.arange(len(items.hashes) + 1))
-    for k in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[k], bounds[k + 1]
-        most[k] = max(rare, COMMONER * own[there[a + (b - a - 1) // 2]])
-    return items.only(own <= most[items.segment])
-
-
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[tuple[list, list]]:
     """Ids and texts of the benchmark, a block of bounded size at a time."""
     ids, texts, size = [], [], 0
@@ -256,7 +236,7 @@ def find_passages(
         ]
     )
     for ids, texts in blocks(benchmark, item_id, item_text, block_bytes):
-        items = seeds(docs, prepare(texts), text)
+        items = prepare(texts)
 
         def find(batches: Iterator[pa.RecordBatch], items: Items = items, ids: list = ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -282,7 +262,7 @@ def clean_documents(
 ) -> DataFrame:
     """The rows, with all their columns, in which `find_passages` finds nothing."""
     for _, texts in blocks(benchmark, item_id, item_text, block_bytes):
-        items = seeds(docs, prepare(texts), text)
+        items = prepare(texts)
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

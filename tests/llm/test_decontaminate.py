@@ -73,6 +73,30 @@ def test_passages(spark):
     assert {(r.doc_id, r.item_id, r.score) for r in again} == {(r.doc_id, r.item_id, r.score) for r in rows if r.item_id < 4}
 
 
+def test_hot_edited_copies_beside_a_few_verbatim_ones(spark):
+    rnd = random.Random(13)
+    item = prose(rnd, 40)
+    edited = " ".join("zz" if k % 4 == 3 else w for k, w in enumerate(item.split(" ")))
+    # 10 n-grams survive the edit, each 41 times as common as the 28 that only whole copies hold.
+    texts = [prose(rnd, 20) + " " + x + " " + prose(rnd, 20) for x in [item] * 5 + [edited] * 200] + [prose(rnd, 80) for _ in range(30)]
+    rows = d.find_passages(documents(spark, texts), bench(spark, [(1, item)])).collect()
+    assert {r.doc_id for r in rows} == set(range(205)) and all(r.score >= 0.6 for r in rows)
+    left = d.clean_documents(documents(spark, texts), bench(spark, [(1, item)]))
+    assert {r.doc_id for r in left.collect()} == set(range(205, 235))
+
+
+def test_windows_left_out_cannot_score():
+    rnd = random.Random(14)
+    items = d.prepare([prose(rnd, 20, 30) for _ in range(6)])
+    text = d.words(d.pa.array([prose(rnd, 3000, 60)]), between=d.MARKS).hashes
+    segment = np.array([rnd.randrange(6) for _ in range(400)])
+    low = np.array([rnd.randrange(2900) for _ in range(400)])
+    high = low + np.array([rnd.randint(1, 60) for _ in range(400)])
+    some = d._possible(items, text, segment, low, high, 0.5)
+    scores = [plain_score(text[a:b].tolist(), items.hashes[s].tolist()) for s, a, b in zip(segment, low, high)]
+    assert not any(s >= 0.5 for s, ok in zip(scores, some) if not ok) and 0 < some.sum() < 400
+
+
 def test_edges(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f"], [None, 3])
     for items in ([], [(1, None)], [(1, " ")]):
