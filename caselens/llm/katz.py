@@ -6,15 +6,17 @@
              = what is left                       for all unseen words together
 
 One event more than counted is kept in each denominator, so that something is left for unseen words even where
-no count is small. Discounts are Good-Turing's for counts up to 5 (see `discounts`). Contexts h are the start of a text and the words that make up at least 1 of
-65,536 training tokens: at most 65,536 words, so their table may go to every task. After any other word the
-model backs off to P(w) at once.
-
-No table over all words or pairs goes to a task. Word counts are one grouped sum. Then each document's distinct
-(context, word, times) entries go once to the partition of their word (of the pair, for context words, which are
-the frequent ones), sorted and compressed, a blob for each slice of texts and partition. The partition sums up
-the counts, and gives back sums per document and per context. Counts of counts, discounts and backoff weights
-follow from these, and the score is put together from sums.
+no count is small. Discounts are Good-Turing's for counts up to 5 (see `discounts`). Contexts h are the start of a
+text and every word of the training texts; after a word that is not in them the model backs off to P(w) at once.
+The order is two words.
+
+No table over all words or pairs goes to a task. Word counts are one grouped sum. Words that make up at least 1 of
+65,536 training tokens are called frequent; there are at most 65,536, so their counts may go to every task. Each
+document's distinct (context, word, times) entries go once to the partition of their word (of the pair, for
+frequent words), sorted and compressed, a blob for each slice of texts and partition. The partition sums up
+the counts, and gives back sums per document and per context. Counts of counts and discounts follow from these.
+Backoff weights are a table by context, joined to the unseen pairs of each document; those of frequent contexts
+are broadcast. The score is put together from sums.
 """
 
 from __future__ import annotations
@@ -31,11 +33,14 @@ from pyspark.sql import types as T
 from caselens.llm.common import arrow_map, scratch, slices, stored
 from caselens.llm.words import mix, words
 
-SHARE = 65_536  # a context word makes up at least 1 / SHARE of the tokens
+HOT = 65_536  # a frequent word makes up at least 1 / HOT of the tokens
+SHARE = np.inf  # every word is a context; if set (to HOT at most), only those that make up 1 / SHARE of the tokens
 TOP = 5  # counts that are discounted
 END = np.uint64(1)  # stands for the end of a text
 NONE = np.uint32(0xFFFFFFFF)
-TOKENS_A_PART = 4_500_000  # what a task of numpy arrays of about 300 MB can sum up
+# Contexts are numbered by their place among the frequent words; others are their hash with the top bit set.
+NO_CONTEXT, RARE = np.uint64(1 << 62), np.uint64(1 << 63)
+TOKENS_A_PART = 2_000_000  # what a task of numpy arrays of about 200 MB can sum up
 
 
 def _katz(n: list[float]) -> list[float] | None:
@@ -65,7 +70,10 @@ def discounts(n: list[float]) -> list[float]:
 
 @dataclass
 class Unigrams:
-    """Totals of the training words, and the counts of the frequent ones (sorted by hash, with END)."""
+    """Totals of the training words, and the counts of the frequent ones (sorted by hash, with END).
+
+    context: which of the frequent words are contexts. rest: whether all others are.
+    """
 
     tokens: int
     types: int
@@ -74,6 +82,8 @@ class Unigrams:
     texts: int
     frequent: np.ndarray
     counts: np.ndarray
+    context: np.ndarray
+    rest: bool
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.types + 1))
@@ -143,17 +153,19 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_words(counted: DataFrame) -> Unigrams:
-    """Totals and frequent words of a stored count table; at most SHARE + 1 rows come to the driver."""
+    """Totals and frequent words of a stored count table; at most HOT + 1 rows come to the driver."""
     same = [F.sum((F.col("count") == r).cast("long")).alias(f"n{r}") for r in range(1, TOP + 2)]
     total, types, *n = (int(x or 0) for x in counted.agg(F.sum("count"), F.count(F.lit(1)), *same).first())
     rate = discounts([0, *n])
     freed = sum(r * n[r - 1] * (1 - rate[r - 1]) for r in range(1, TOP + 1))
     end = int(END)
-    often = counted.filter((F.col("count") * SHARE >= total) | (F.col("word") == end)).collect()
+    often = counted.filter((F.col("count") * HOT >= total) | (F.col("word") == end)).collect()
     pairs = sorted((int(r["word"]) & 0xFFFFFFFFFFFFFFFF, int(r["count"])) for r in often) or [(end, 0)]
     frequent, counts = np.array([p[0] for p in pairs], dtype=np.uint64), np.array([p[1] for p in pairs], dtype=np.int64)
     texts = int(counts[frequent == END].sum())
-    return Unigrams(total, types, rate, (freed + 1) / (total + 1), texts, frequent, counts)
+    rest = SHARE == np.inf
+    context = np.full(len(counts), True) if rest else counts * min(SHARE, HOT) >= total
+    return Unigrams(total, types, rate, (freed + 1) / (total + 1), texts, frequent, counts, context, rest)
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -175,7 +187,7 @@ def write_blob(keys: np.ndarray, train: np.ndarray, word: np.ndarray, context: n
     raw = b"".join(
         (
             head, _planes(keys[used]), train[used].astype(np.uint8).tobytes(), _planes(step),
-            _planes(context.astype(np.uint32)), _planes(doc.astype(np.uint32)), _planes(times.astype(np.uint32)),
+            _planes(context), _planes(doc.astype(np.uint32)), _planes(times.astype(np.uint32)),
         )
     )
     return np.array([len(raw)], dtype="<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
@@ -187,18 +199,21 @@ def read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     keys, at = _from_planes(raw, 8, docs, np.int64)
     train, at = _from_planes(raw, at, docs, np.uint8)
     step, at = _from_planes(raw, at, n, np.uint64)
-    context, at = _from_planes(raw, at, n, np.uint32)
+    context, at = _from_planes(raw, at, n, np.uint64)
     doc, at = _from_planes(raw, at, n, np.uint32)
     times, at = _from_planes(raw, at, n, np.uint32)
     return keys, train, np.cumsum(step, dtype=np.uint64), context, doc, times
 
 
 def _codes(model: Unigrams, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token, row, the token's own code and its context's code (NONE where that is no context)."""
+    """Token, row, the token's own code and its context (NO_CONTEXT where there is none)."""
     token, row = _tokens(column)
     own = model.code(token)
-    before = np.empty(len(own), dtype=np.uint32)
-    before[1:] = own[:-1]
+    after = token | RARE if model.rest else np.full(len(own), NO_CONTEXT)
+    often = own != NONE
+    after[often] = np.where(model.context[own[often]], own[often].astype(np.uint64), NO_CONTEXT)
+    before = np.empty(len(own), dtype=np.uint64)
+    before[1:] = after[:-1]
     first = np.ones(len(row), dtype=bool)
     first[1:] = np.diff(row) != 0
     before[first] = model.start
@@ -206,17 +221,17 @@ def _codes(model: Unigrams, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _entries(docs: DataFrame, model: Unigrams, parts: list[int]) -> DataFrame:
-    """(part, blob) of the entries that need counts from elsewhere: all but frequent words after no context."""
+    """(part, blob) of the entries that need counts from elsewhere: all, but for frequent words without a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 token, row, own, before = _codes(model, part.column("text"))
-                keep = (own == NONE) | (before != NONE)
+                keep = (own == NONE) | (before != NO_CONTEXT)
                 token, row, own, before = token[keep], row[keep], own[keep], before[keep]
                 if not len(token):
                     continue
-                pair = mix(token + mix(before.astype(np.uint64)))
+                pair = mix(token + mix(before))
                 home = (np.where(own == NONE, mix(token + np.uint64(7)), pair) % np.uint64(len(parts))).astype(np.int64)
                 order = np.lexsort((row, before, token, home))
                 token, row, before, home = token[order], row[order], before[order], home[order]
@@ -283,7 +298,9 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     code = model.code(word[at_word])
     often = code != NONE
     count[often] = model.counts[code[often]]
-    paired, context = context[at_pair] != NONE, context[at_pair]
+    context, context_of = np.unique(context[at_pair], return_inverse=True)
+    context_of = context_of.astype(np.int32)
+    paired = (context != NO_CONTEXT)[context_of]
     log_p, p = model.log_p(count), model.p(count)
     del word
     word_of = np.cumsum(new_word, dtype=np.int32) - np.int32(1)
@@ -297,23 +314,26 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     known = add((~often & (count > 0))[word_of] * times)
     backed = size <= 0
     log_sum = add(np.where(backed, log_p[word_of], np.log10(np.maximum(size, 1)) * (size > TOP)) * times)
+    if model.rest:  # a word that is not frequent is a context as often as it occurs
+        log_sum -= add(np.where(often, 0.0, np.log10(count + 1))[word_of] * times)
     ones = {f"k{r}": add((size == r) * times) for r in range(1, TOP + 1)}
     yield _rows(_DOC, ukeys, base=base, known=known, log_sum=log_sum, **ones)
     event = size == 0
-    n = model.start + 1
-    spot = doc[event].astype(np.int64) * (n + 1) + context[pair_of[event]]
+    n = len(context)
+    spot = doc[event].astype(np.int64) * n + context_of[pair_of[event]]
     place, back = np.unique(spot, return_inverse=True)
     often_there = np.bincount(back, weights=times[event], minlength=len(place))
-    yield _rows(_EVENT, ukeys[place // (n + 1)], known=often_there, k1=place % (n + 1))
+    context = context.view(np.int64)
+    yield _rows(_EVENT, ukeys[place // max(n, 1)], known=often_there, k1=context[place % max(n, 1)])
     word_of = word_of[at_pair]
     del doc, times, size, pair_of, backed, event, spot
     seen = paired & (pair > 0)
-    h, c = context[seen].astype(np.int64), pair[seen]
+    h, c = context_of[seen], pair[seen]
     by_h = {f"k{r}": np.bincount(h[c == r], minlength=n) for r in range(1, TOP + 1)}
     big = np.bincount(h[c > TOP], weights=c[c > TOP], minlength=n)
     mass = np.bincount(h, weights=p[word_of[seen]], minlength=n)
     some = np.flatnonzero(np.bincount(h, minlength=n))
-    yield _rows(_CONTEXT, some, log_sum=big[some], p_sum=mass[some], **{k: v[some] for k, v in by_h.items()})
+    yield _rows(_CONTEXT, context[some], log_sum=big[some], p_sum=mass[some], **{k: v[some] for k, v in by_h.items()})
     yield _rows(_COUNTS, np.zeros(1), **{f"k{r}": np.array([(c == r).sum()]) for r in range(1, TOP + 2)})
 
 
@@ -332,9 +352,9 @@ def _local(docs: DataFrame, model: Unigrams, id_type: T.DataType) -> DataFrame:
             for part in slices(batch, "text"):
                 _, row, own, before = _codes(model, part.column("text"))
                 n = part.num_rows
-                often, after = own != NONE, before != NONE
+                often, after, near = own != NONE, before != NO_CONTEXT, before <= model.start
                 add = lambda rows, w, n=n: np.bincount(rows, weights=w, minlength=n)
-                score = -add(row[after], total[before[after]])
+                score = -add(row[near], total[before[near].astype(np.int64)])
                 score += add(row[often & ~after], log_p[own[often & ~after]])
                 known = add(row[often], (model.counts[own[often]] > 0).astype(float)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -369,7 +389,8 @@ def score_texts(docs: DataFrame, held_out: Column, row_id: str = "doc_id", text:
         F.col(row_id).alias("id"), F.col(text).alias("text"), F.xxhash64(row_id, text).alias("key"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
     ).withColumn("train", ~F.col("held_out"))
-    model = fit_words(stored(count_words(rows.filter("train")), "katz-words"))
+    counted = stored(count_words(rows.filter("train")), "katz-words")
+    model = fit_words(counted)
     # Each document has a row of sums for each part, so there are no more parts than memory asks for.
     parts = max(1, -(-model.tokens // TOKENS_A_PART))
     keys = _part_keys(docs, parts)
@@ -387,24 +408,27 @@ def score_texts(docs: DataFrame, held_out: Column, row_id: str = "doc_id", text:
     ks = [f"k{r}" for r in range(1, TOP + 1)]
     n = sums.filter(F.col("kind") == _COUNTS).agg(*[F.sum(f"k{r}") for r in range(1, TOP + 2)]).first()
     rate = discounts([0, *[x or 0 for x in n]])
-    # One row per context at most.
-    contexts = sums.filter(F.col("kind") == _CONTEXT).groupBy("key").agg(
-        F.sum("log_sum").alias("big"), F.sum("p_sum").alias("mass"), *[F.sum(k).alias(k) for k in ks]
-    )
-    count = model.context_counts()
-    weight = np.zeros(len(count))
-    for r in contexts.collect():
-        star = r["big"] + sum(r[f"k{k}"] * k * rate[k - 1] for k in range(1, TOP + 1))
-        weight[r["key"]] = np.log10((count[r["key"]] + 1 - star) / max(1 - r["mass"], 1e-300))
-    table = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weight)], "k1 long, weight double")
+    star = F.sum("log_sum")
+    for k in range(1, TOP + 1):
+        star = star + F.sum(f"k{k}") * (k * rate[k - 1])
+    contexts = sums.filter(F.col("kind") == _CONTEXT).groupBy("key").agg(star.alias("star"), F.sum("p_sum").alias("mass"))
+    frequent = spark.createDataFrame([(k, int(c)) for k, c in enumerate(model.context_counts())], "key long, count long")
+    weight = F.log10((F.col("count") + 1 - F.col("star")) / F.greatest(1 - F.col("mass"), F.lit(1e-300)))
+    rare = counted.select(F.col("word").bitwiseOR(F.lit(-(1 << 63))).alias("key"), "count")
+    often = contexts.filter("key >= 0").join(F.broadcast(frequent), "key").select(F.col("key").alias("k1"), weight.alias("weight"))
+    seldom = contexts.filter("key < 0").join(rare, "key").select(F.col("key").alias("k1"), weight.alias("weight"))
 
     logs = [float(np.log10(r * rate[r - 1])) for r in range(1, TOP + 1)]
     seen = F.col("log_sum")
     for k, log in zip(ks, logs, strict=True):
         seen = seen + F.col(k) * log
     of_docs = sums.filter(F.col("kind") == _DOC).select("key", "base", "known", seen.alias("part"))
-    events = sums.filter(F.col("kind") == _EVENT).select("key", "known", "k1").join(F.broadcast(table), "k1")
-    of_events = events.select("key", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("known") * F.col("weight")).alias("part"))
+    events = sums.filter(F.col("kind") == _EVENT).select("key", "known", "k1")
+    # A context that is not in the training texts has no weight: after it P(w) stands.
+    weighted = events.filter("k1 >= 0").join(F.broadcast(often), "k1", "left").unionByName(events.filter("k1 < 0").join(seldom, "k1", "left"))
+    of_events = weighted.select(
+        "key", F.lit(0.0).alias("base"), F.lit(0).cast("long").alias("known"), (F.col("known") * F.coalesce("weight", F.lit(0.0))).alias("part")
+    )
     far = of_docs.unionByName(of_events).groupBy("key").agg(*[F.sum(c).alias(f"far_{c}") for c in ("base", "known", "part")])
     near = stored(_local(rows, model, docs.schema[row_id].dataType), "katz-local")
     copies = near.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))

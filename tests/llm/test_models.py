@@ -116,6 +116,17 @@ def test_katz(spark, monkeypatch, share):
         assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], rel=1e-9) and g[5] == pytest.approx(w[5], rel=1e-9)
 
 
+def test_katz_pairs_after_rare_words(spark, monkeypatch):
+    rnd = random.Random(5)
+    texts = [prose(rnd, 30_000, 20_000) for _ in range(4)] + [prose(rnd, rnd.randint(0, 80), 30_000) for _ in range(40)]
+    held = lambda i: i % 5 == 4
+    rows = katz.score_texts(documents(spark, texts), F.col("doc_id") % 5 == 4).collect()
+    monkeypatch.setattr(katz, "SHARE", math.inf)  # every word is a context in the plain model
+    for r, w in zip(sorted(rows, key=lambda r: r.doc_id), plain_katz(texts, held, range(len(texts))), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3] and w[2] > 65_536
+        assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
+
+
 def test_katz_edges(spark):
     assert katz.score_texts(documents(spark, []), F.lit(False)).collect() == []
     rows = katz.score_texts(documents(spark, ["a b", None]), F.lit(True)).collect()
