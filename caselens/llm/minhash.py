@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil
 from operator import add
 
 import numpy as np
@@ -29,11 +30,23 @@ from caselens.llm.words import mix, run_rows, runs, words
 
 SHINGLE = 3
 PERCENT = 85  # similarity from which documents are linked, in percent
-BANDS, BAND_ROWS = 32, 8
-MINIMA = BANDS * BAND_ROWS
+MINIMA = 256
+MISSED = 1e-4  # chance at most of missing a link exactly at the threshold
 PACKED = MINIMA // 64
 STAR_ROUNDS = 3
-MARGIN = 0.17  # five standard deviations of the estimate at the threshold
+
+
+def band_rows(percent: int) -> int:
+    """Minima a band: the most, up to 16, with which a link at the threshold is missed as seldom as MISSED."""
+    share = percent / 100
+    fit = [r for r in range(1, 17) if (1 - share**r) ** (MINIMA // r) <= MISSED]
+    return max(fit, default=1)
+
+
+def margin(percent: int) -> float:
+    """Five standard deviations of the estimate at the threshold, from minima whose bits agree with chance (1 + J) / 2."""
+    share = percent / 100
+    return ceil(500 * ((1 - share * share) / MINIMA) ** 0.5) / 100
 
 _RNG = np.random.default_rng(20240229)
 _FLIP = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, MINIMA, dtype=np.uint64)
@@ -62,8 +75,9 @@ def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return gram, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))])
 
 
-def signatures(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits (rows x PACKED) and band keys (rows x BANDS) of non-empty sets."""
+def signatures(sets: np.ndarray, first: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Packed low bits (PACKED a row) and band keys of `rows` minima each (MINIMA // rows a row) of non-empty sets."""
+    bands = MINIMA // rows
     starts = first[:-1]
     minima = np.empty((len(starts), MINIMA), dtype=np.uint64)
     work = np.empty(len(sets), dtype=np.uint64)
@@ -72,37 +86,38 @@ def signatures(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.multiply(work, _ODD[k], out=work)
         minima[:, k] = np.minimum.reduceat(work, starts)
     packed = np.packbits((minima & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-    keys = np.zeros((len(starts), BANDS), dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        keys = mix(keys * np.uint64(3) + minima[:, k::BAND_ROWS] + np.arange(BANDS, dtype=np.uint64))
+    keys = np.zeros((len(starts), bands), dtype=np.uint64)
+    for k in range(rows):
+        keys = mix(keys * np.uint64(3) + minima[:, k : bands * rows : rows] + np.arange(bands, dtype=np.uint64))
     return packed, keys.view(np.int64)
 
 
 _BITS = [f"s{k}" for k in range(PACKED)]
 
 
-def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+def _sketches(docs: DataFrame, row_id: str, text: str, shingle: int, rows: int) -> DataFrame:
     """row_id, row (hash of id and text), n_shingles, a 128-bit hash of the set (h1, h2), packed bits and band keys of every row."""
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType())])
     for name in ("n_shingles", "h1", "h2", *_BITS):
         schema = schema.add(name, T.LongType())
     schema = schema.add("bands", T.ArrayType(T.LongType()))
+    bands = MINIMA // rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, 1_000_000):
-                sets, first = shingle_sets(part.column(text))
+                sets, first = shingle_sets(part.column(text), shingle)
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 h = np.zeros((2, len(n)), dtype=np.uint64)
                 packed = np.zeros((len(n), PACKED), dtype=np.int64)
-                keys = np.zeros((len(n), BANDS), dtype=np.int64)
+                keys = np.zeros((len(n), bands), dtype=np.int64)
                 if len(full):
                     starts = np.append(first[:-1][full], len(sets))
                     for k in range(2):
                         h[k, full] = np.add.reduceat(mix(sets ^ _FLIP[k]), starts[:-1])
-                    packed[full], keys[full] = signatures(sets, starts)
-                offsets = np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32)
+                    packed[full], keys[full] = signatures(sets, starts, rows)
+                offsets = np.arange(0, (len(n) + 1) * bands, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -118,14 +133,14 @@ def _sketches(docs: DataFrame, row_id: str, text: str) -> DataFrame:
     return arrow_map(docs.select(F.col(row_id).cast("bigint"), text, F.xxhash64(row_id, text).alias("row")), run, schema)
 
 
-def _sets(docs: DataFrame, row_id: str, text: str) -> DataFrame:
+def _sets(docs: DataFrame, row_id: str, text: str, shingle: int) -> DataFrame:
     """The full shingle sets: id and sorted hashes."""
     schema = T.StructType([T.StructField("id", docs.schema[row_id].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                sets, first = shingle_sets(part.column(text))
+                sets, first = shingle_sets(part.column(text), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=schema.names)
 
@@ -137,7 +152,7 @@ def _likely(percent: int) -> Column:
     unequal = reduce(add, [F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _BITS])
     estimate = 1 - 2 * unequal / F.lit(float(MINIMA))
     small, big = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (100 * small >= percent * big) & (estimate >= percent / 100 - MARGIN)
+    return (100 * small >= percent * big) & (estimate >= percent / 100 - margin(percent))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -158,19 +173,19 @@ def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text"
+    docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
 ) -> DataFrame:
     """row_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept, per row.
 
     `row` is a 64-bit hash of id and text, by which a result row can be joined to its input row.
 
-    Documents are linked when the Jaccard similarity of their sets of distinct 3-word shingles (A-Z as a-z; a
+    Documents are linked when the Jaccard similarity of their sets of distinct shingles of `shingle` words (A-Z as a-z; a
     shorter text is one shingle) is at least `percent`. Null, empty and blank texts have no shingle and are
     linked with nothing. Ids are integers. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
     id and text count as one document and get equal results; an id that repeats with other texts has a result for
-    each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of 4e-5.
+    each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of at most 1e-4 (4e-5 at 85%).
     """
-    sketch = stored(_sketches(docs, row_id, text), "sketches")
+    sketch = stored(_sketches(docs, row_id, text, shingle, band_rows(percent)), "sketches")
     light = sketch.select("id", "row", "n_shingles", "h1", "h2")
     linked = light.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
     classes = stored(linked.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
@@ -186,7 +201,7 @@ def near_duplicates(
     members = stored(rows.join(small_side(stored(shared.select("band"), "bands")), "band", "left_semi"), "band-members")
     wanted = stored(members.select("id").distinct(), "wanted")
     texts = docs.select(F.col(row_id).cast("bigint").alias("id"), text).join(small_side(wanted), "id", "left_semi")
-    sets = stored(_sets(texts, "id", text), "shingles")
+    sets = stored(_sets(texts, "id", text, shingle), "shingles")
     sketched = bits.join(small_side(wanted), "id", "left_semi")
 
     # Rounds of stars, each band about a centre of its own, among classes not yet in one component.
@@ -239,8 +254,10 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
     """The rows, with all their columns, whose document is the first of its component."""
-    later = near_duplicates(docs, percent, row_id, text).filter(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
+    later = near_duplicates(docs, percent, row_id, text, shingle).filter(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(row_id, text))
     return keyed.join(small_side(stored(later, "later-copies")), "_row", "left_anti").select(*docs.columns)

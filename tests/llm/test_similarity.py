@@ -50,6 +50,30 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (5, 5, True), (5, 5, True), (6, 6, True)]
 
 
+def test_pipeline_stage_links_on_five_words_and_80_percent(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    text = prose(rnd, 200, 5000)
+    added = text + " " + prose(rnd, 44, 5000)
+    other = prose(rnd, 200, 5000)
+    words = other.split(" ")
+    # Scattered edits: 3-word shingles over 85% alike, 5-word ones below 80%.
+    scattered = " ".join("zz" if k in (30, 60, 90, 120, 150) else w for k, w in enumerate(words))
+    alike = lambda a, b, n: len(shingles(a, n) & shingles(b, n)) / len(shingles(a, n) | shingles(b, n))
+    assert 0.8 <= alike(text, added, 5) < 0.85 and alike(text, added, 3) < 0.85
+    assert alike(other, scattered, 3) >= 0.85 and alike(other, scattered, 5) < 0.8
+    kept = corpus_pipeline.near_duplicate_stage(spark, documents(spark, [text, added, other, scattered]), "")
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 3}
+
+
+def test_bands_follow_the_threshold():
+    for percent in (70, 75, 80, 85, 90):
+        rows = minhash.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (minhash.MINIMA // rows) <= 1e-4
+    assert minhash.band_rows(85) == 8 and minhash.band_rows(80) == 6 and minhash.margin(85) == 0.17
+
+
 def norm(line):
     return line.lower().strip(" \t\n\x0b\f\r") if any(c.isalnum() for c in line) else ""
 
