@@ -136,6 +136,18 @@ def test_fuzzy_lines(spark):
         assert r.n_lines == (0 if t is None else len(t.split("\n")))
 
 
+def test_lines_three_bits_apart_are_linked(spark):
+    rnd = random.Random(31)
+    texts = []
+    while len(texts) < 12:
+        line = prose(rnd, 60, 100_000)
+        near = edited(rnd, line, 0.03)
+        if (simhash(line) ^ simhash(near)).bit_count() == 3 and 5 * edits(line, near) <= max(len(line), len(near)):
+            texts += [line, near]
+    rows = fuzzy_lines.dedupe_lines(documents(spark, texts)).collect()
+    assert {r.doc_id for r in rows if r.dropped} == set(range(1, 12, 2))
+
+
 def test_fuzzy_lines_edges(spark):
     assert fuzzy_lines.dedupe_lines(documents(spark, [])).collect() == []
     rows = fuzzy_lines.dedupe_lines(documents(spark, ["a line\nb", "a line\nb", "a line\nc", "a line"], [4, 4, None, 9])).collect()
