@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselens.llm import decontaminate, fuzzy_lines, katz, minhash, packing, pii, quality, tokenfiles, toxicity, warc
+from caselens.llm import (
+    decontaminate,
+    divergence,
+    fuzzy_lines,
+    katz,
+    minhash,
+    packing,
+    pii,
+    quality,
+    resampling,
+    tokenfiles,
+    toxicity,
+    warc,
+)
 from caselens.llm.common import scratch, table
 
 
@@ -93,6 +106,14 @@ def katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score_texts(table(spark, sf_dir, "documents"), held_out)
 
 
+def level_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def position_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bootstrapped_pii": bootstrapped_pii,
     "op2_sos_packing": sos_packing,
@@ -104,4 +125,6 @@ QUERIES = {
     "op8_bbit_minhash": bbit_minhash,
     "op9_fair_toxicity": fair_toxicity,
     "op10_katz_scores": katz_scores,
+    "op11_level_products": level_products,
+    "op13_position_crc_resample": position_crc_resample,
 }

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not
 def test_one_query_for_each_operator():
     import __spark_entry__ as contract
 
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(queries.QUERIES) | {"pipeline"} == set(contract.LLM_QUERIES) <= set(contract.queries())
     assert set(oracle.SQL) <= set(queries.QUERIES)
 
