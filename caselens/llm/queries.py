@@ -13,6 +13,7 @@ from caselens.llm import (
     katz,
     minhash,
     packing,
+    page_text,
     pii,
     quality,
     resampling,
@@ -110,6 +111,10 @@ def level_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def dom_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def position_crc_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -126,5 +131,6 @@ QUERIES = {
     "op9_fair_toxicity": fair_toxicity,
     "op10_katz_scores": katz_scores,
     "op11_level_products": level_products,
+    "op12_dom_marginals": dom_marginals,
     "op13_position_crc_resample": position_crc_resample,
 }
