@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,11 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def made_once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often `then` uses it, inside other lambdas too."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 # --- rounding and ratios (adding 0.0 turns a negative zero into a plain one) --------------
 def round_up(x: Column, digits: int) -> Column:
     """Round half away from zero on the scaled value, the way SQL engines round doubles."""

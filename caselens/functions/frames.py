@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselens.functions.exprs import draw_key
@@ -102,3 +102,23 @@ def first_ranks(
         return shuffled_rank(df, row_id, seed, by, out, up_to=up_to)
     order = Window.partitionBy(*by).orderBy(draw_key(row_id, seed), row_id)
     return df.withColumn(out, F.row_number().over(order)).filter(F.col(out) <= up_to)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], out: str, name: str) -> DataFrame:
+    """Rows with their 0-based place in a total order, without a window over all of them.
+
+    Rows are dealt by ranges of the order, sorted, and written with their place in their range; the ranges' sizes,
+    one number each, are summed up on the driver. Rows equal in the order must be equal in all columns.
+    """
+    spark = df.sparkSession
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = keep(dealt.withColumns({"_range": F.spark_partition_id(), "_place": place}), name)
+    sizes = sorted((r["_range"], r["n"]) for r in written.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, at = [], 0
+    for k, n in sizes:
+        starts.append((k, at))
+        at += n
+    # One row per range of the shuffle.
+    shifts = F.broadcast(spark.createDataFrame(starts, "_range int, _start bigint"))
+    return written.join(shifts, "_range").select(*df.columns, (F.col("_start") + F.col("_place")).alias(out))

@@ -116,6 +116,21 @@ def balanced_draw(
     )
 
 
+def seeds_of(
+    tagged: DataFrame,
+    themes: str,
+    cap: int = rules.SEED_CAP_PER_THEME,
+    seed: int = rules.MODEL_SEED,
+    row_id: str = "complaint_id",
+) -> DataFrame:
+    """Rows whose array of matched themes has exactly one, as `theme`, at most `cap` per theme."""
+    # Exploding a one-element array, or null, filters without matching the rules a second time.
+    only = F.when(F.size(themes) == 1, F.col(themes))
+    single = tagged.select(row_id, F.explode(only).alias("theme"))
+    drawn = first_ranks(keep(single, "single"), row_id, seed, ["theme"], cap, "_rank").drop("_rank")
+    return tagged.drop(themes).join(small_or_plain(keep(drawn, "seeds")), row_id)
+
+
 def keyword_seeds(
     corpus: DataFrame,
     cap: int = rules.SEED_CAP_PER_THEME,
@@ -123,11 +138,7 @@ def keyword_seeds(
     row_id: str = "complaint_id",
 ) -> DataFrame:
     """Rows that match the rule of exactly one theme, at most `cap` per theme."""
-    # Exploding a one-element array, or null, filters without matching the rules a second time.
-    only = F.when(F.size("_themes") == 1, F.col("_themes"))
-    single = with_keyword_themes(corpus, "narrative", "_themes").select(row_id, F.explode(only).alias("theme"))
-    drawn = first_ranks(keep(single, "single"), row_id, seed, ["theme"], cap, "_rank").drop("_rank")
-    return corpus.join(small_or_plain(keep(drawn, "seeds")), row_id)
+    return seeds_of(with_keyword_themes(corpus, "narrative", "_themes"), "_themes", cap, seed, row_id)
 
 
 def prepared_text(narrative, max_chars: int | None = None):

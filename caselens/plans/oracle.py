@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from caselens.plans import oracle_benchmark, oracle_labels
+from caselens.plans import oracle_benchmark, oracle_labels, oracle_model
 
-SQL: dict[str, str] = {**oracle_benchmark.SQL, **oracle_labels.SQL}
+SQL: dict[str, str] = {**oracle_benchmark.SQL, **oracle_labels.SQL, **oracle_model.SQL}

@@ -151,8 +151,8 @@ _NARR_PCT = pct_if("narrative IS NOT NULL", 1)
 _THEMES = "list_filter([" + ", ".join(
     f"CASE WHEN {text_hit(r)} THEN {q(t)} END" for t, r in rules.THEME_RULES.items()
 ) + "], lambda x: x IS NOT NULL)"
-_TOLD = f"""told AS (SELECT complaint_id, issuer, date_received, narrative, {_THEMES} AS themes FROM eligible)"""
-SEEDS = f"""{ELIGIBLE},{_TOLD},
+TOLD = f"""told AS (SELECT complaint_id, issuer, date_received, narrative, {_THEMES} AS themes FROM eligible)"""
+SEEDS = f"""{ELIGIBLE},{TOLD},
 seeds AS (
   SELECT complaint_id, issuer, date_received, themes[1] AS theme FROM told WHERE len(themes) = 1
   QUALIFY row_number() OVER (PARTITION BY themes[1]
@@ -298,7 +298,7 @@ FROM mapped GROUP BY source_file""",
     "keyword_themes": over(
         CARDS,
         ELIGIBLE,
-        _TOLD,
+        TOLD,
         body="SELECT array_to_string(themes, ',') AS themes, count(*) AS narratives FROM told GROUP BY 1",
     ),
     "keyword_seeds": over(CARDS, SEEDS, body="SELECT * FROM seeds"),

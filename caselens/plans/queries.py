@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import rules
 from caselens.functions.exprs import round_even, round_up
+from caselens.functions.frames import keep
 from caselens.operators import (
     benchmark,
     costs,
@@ -454,6 +455,50 @@ def theme_model_share(t: Tables) -> DataFrame:
     return textmodel.theme_model_share(t.model_labels())
 
 
+@query
+def model_vocabulary(t: Tables) -> DataFrame:
+    return textmodel.vocabulary(t.document_terms, max_features=None)
+
+
+@query
+def model_scores(t: Tables) -> DataFrame:
+    scored = textmodel.predict_themes(t.given_model, t.labelled_documents(), "text")
+    return rounded(scored.drop("label"), 6, "confidence")
+
+
+@query
+def model_scores_share(t: Tables) -> DataFrame:
+    return textmodel.theme_model_share(t.scored_documents)
+
+
+@query
+def model_folds(t: Tables) -> DataFrame:
+    return textmodel.stratified_folds(t.labelled_documents(), "doc_id", "label")
+
+
+def _fold_predictions(t: Tables) -> DataFrame:
+    split = F.when(F.col("label") != standin.RARE_LABEL, F.col("primary_theme"))
+    return t.scored_documents.withColumn("primary_theme", split)
+
+
+@query
+def model_f1(t: Tables) -> DataFrame:
+    return textmodel.fold_scores(_fold_predictions(t))
+
+
+@query
+def model_report(t: Tables) -> DataFrame:
+    return textmodel.labels_model_report(_fold_predictions(t), t.scored_documents)
+
+
+@query
+def model_report_keywords(t: Tables) -> DataFrame:
+    corpus = t.eligible().select("complaint_id", "narrative")
+    tagged = keep(with_keyword_themes(corpus).drop("narrative"), "tagged")
+    seeds = sampling.seeds_of(tagged, "themes", standin.SEED_CAP)
+    return textmodel.keyword_model_report(tagged, seeds, t.model_labels())
+
+
 # --- findings ----------------------------------------------------------------------------
 def _mix(t: Tables) -> DataFrame:
     return benchmark.sub_issue_mix(t.complaints, ISSUERS)
