@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselens.functions.exprs import draw_key
 
@@ -31,6 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
+
+
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
+    """What is stored at a path, or no rows where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).format(fmt).load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
     """Write the frame once to the shared folder and read it back, so lineage ends there.
 
@@ -38,7 +55,7 @@ def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
     come out of joins that leave a few huge partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     (df.hint("rebalance") if even_files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,7 +86,9 @@ def shuffled_rank(
     The frame is read twice, so it should be cheap to read.
     """
     by = list(by)
-    sliced = df.withColumn("_key", draw_key(row_id, seed)).withColumn(
+    # A null id has a key of its own, so that its rows are ranked as well.
+    key = F.coalesce(draw_key(row_id, seed), F.md5(F.lit(f"{seed}:")))
+    sliced = df.withColumn("_key", key).withColumn(
         "_slice", F.substring("_key", 1, prefix)
     )
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
+from caselens.functions.exprs import round_even
 from caselens.operators.labels import final_attempts
 from caselens.operators.sampling import request_blocks
 
@@ -51,6 +52,17 @@ def measured_cost(
     return billed.join(prices, "model").select("model", "billed_rows", per_row.alias("cost_per_row_usd"))
 
 
+def full_sample_cost(sample: DataFrame, per_row: DataFrame) -> DataFrame:
+    """Cost of labelling the whole sample at each model's measured cost per row; null where too few rows were billed."""
+    rows = sample.agg(F.count(F.lit(1)).alias("n")).scalar()
+    cost = F.col("cost_per_row_usd")
+    return per_row.select(
+        "model",
+        round_even(cost, 5).alias("measured_cost_per_row_usd"),
+        round_even(cost * rows, 2).alias("full_sample_cost_usd"),
+    )
+
+
 def ledger_status(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("model", "prompt_version", "mode", "status").agg(F.count(F.lit(1)).alias("rows"))
 

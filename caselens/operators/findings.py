@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from caselens.functions import rules
 from caselens.functions.exprs import lookup, n_rows, percent, round_even, share
+from caselens.operators.costs import spend_rollup
 
 CHART_METRICS = [
     ("sub_issue", "fees_rewards_promo"),
@@ -198,6 +199,20 @@ def facts_label_run(ledger: DataFrame, model: str) -> DataFrame:
     )
 
 
+def facts_label_totals(
+    sample: DataFrame, labelled: DataFrame, ledger: DataFrame, prices: DataFrame, budget: float = rules.BUDGET_USD
+) -> DataFrame:
+    """Rows sampled and labelled, and what all attempts have cost against the budget."""
+    sampled = sample.agg(n_rows().alias("sample_rows"))
+    done = labelled.filter(F.col("label_source") == rules.FROM_LABELS).agg(n_rows().alias("rows_labelled"))
+    spent = spend_rollup(ledger, prices).agg(round_even(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("spend_usd"))
+    spent = spent.withColumn("budget_usd", F.lit(float(budget)))
+    out = _long(sampled, "label_run", [("sample_rows", F.col("sample_rows"), None)])
+    for df in (done, spent):
+        out = out.unionByName(_long(df, "label_run", [(c, F.col(c), None) for c in df.columns]))
+    return out
+
+
 # --- chart feeds -------------------------------------------------------------------------
 def chart_extremes(mix: DataFrame, focus: str, floor: int = 150, head: int = 7, tail: int = 6) -> DataFrame:
     """Sub-issues with the largest positive and negative difference, above a size floor.
@@ -232,6 +247,21 @@ def heat_matrix(heat: DataFrame, column: str, columns: Sequence[str], value: str
     return heat.groupBy("issuer").pivot(column, list(columns)).agg(F.max(value)).na.fill(0.0)
 
 
+def issue_matrix(heat: DataFrame, issuers: Sequence[str]) -> DataFrame:
+    """The issue heat as a matrix: issuers in the given order (`row`), issues by falling size as an array of names and
+    one of shares, zero filled."""
+    # One entry per issue kept.
+    names = heat.select("issue", "all_complaints").distinct().agg(
+        F.transform(F.sort_array(F.collect_list(F.struct((-F.col("all_complaints")).alias("n"), "issue"))), lambda x: x["issue"]).alias("issues")
+    )
+    cells = heat.groupBy("issuer").agg(F.map_from_entries(F.collect_list(F.struct("issue", "share_pct"))).alias("cells"))
+    place = F.array_position(F.array(*[F.lit(i) for i in issuers]), F.col("issuer")).cast("int")
+    share = F.transform("issues", lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)))
+    return cells.withColumn("issues", names.scalar()).select(
+        place.alias("row"), "issuer", F.array_join("issues", ";").alias("issues"), F.array_join(share.cast("array<string>"), ";").alias("shares")
+    )
+
+
 def chart_theme_heat(mix: DataFrame, themes: Sequence[str] = rules.THEMES) -> DataFrame:
     """Theme share per issuer as a matrix, one decimal."""
     short = mix.withColumn("share_pct", round_even(F.col("share_pct"), 1))

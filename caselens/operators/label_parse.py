@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caselens.functions import rules
-from caselens.functions.exprs import as_col, lookup, one_spaced
+from caselens.functions.exprs import as_col, lookup, made_once, one_spaced
 
 # Rows below are checked in this order; the first problem found is the row's error.
 NO_JSON = "no JSON object found"
@@ -177,18 +177,27 @@ def parse_packs(responses: DataFrame, max_benefits: int | None = None) -> DataFr
         .when(F.col("_results").isNull() | (_kind(F.col("_results")) != "ARRAY"), NO_RESULTS)
     )
     refused = F.col("stop_reason").eqNullSafe("refusal")
+    # Asked ids and listed items side by side in order of id: an id's items are next to it, whatever the pack's size.
+    entry = lambda i, kind, at: F.struct(i.alias("id"), F.lit(kind).alias("kind"), at.alias("at"))
+    asked = F.transform("ids", lambda i, k: entry(i.cast("string"), 1, k))
+    item_id = lambda x: F.when(_kind(x) == "OBJECT", F.trim(_text(_field(x, "id"))))
+    listed = F.transform(F.coalesce("_listed", F.array().cast("array<variant>")), lambda x, k: entry(item_id(x), 0, k))
+    new_id = lambda s: F.array_compact(
+        F.transform(s, lambda e, k: F.when((k == 0) | ~e["id"].eqNullSafe(F.get(s, k - 1)["id"]), k))
+    )
+    by_id = lambda s, at: F.transform(at, lambda a, k: F.slice(s, a + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - a))
+    entries = F.concat(F.filter(listed, lambda e: e["id"].isNotNull()), asked)
+    groups = made_once(F.sort_array(entries), lambda s: made_once(new_id(s), lambda at: by_id(s, at)))
     one_each = (
         packs.withColumn("_pack_error", F.when(~refused, pack_error))
         .withColumn("_asked", F.size("ids"))
-        .select("*", F.explode("ids").alias("_id"))
-    )
-    own = F.filter(
-        F.coalesce("_listed", F.array().cast("array<variant>")),
-        lambda x: F.coalesce(_kind(x) == "OBJECT", F.lit(False))
-        & F.coalesce(F.trim(_text(_field(x, "id"))) == F.col("_id").cast("string"), F.lit(False)),
+        .select("*", F.explode(groups).alias("_same"))
+        .withColumn("_found", F.filter("_same", lambda e: e["kind"] == 0))
+        .select("*", F.explode(F.filter("_same", lambda e: e["kind"] == 1)).alias("_ask"))
+        .withColumn("_id", F.get("ids", F.col("_ask.at")))
     )
-    matched = one_each.withColumn("_own", own).withColumn("_item", F.get("_own", F.lit(0)))
-    no_item = F.when(F.size("_own") == 0, ID_MISSING).when(F.size("_own") > 1, ID_TWICE)
+    matched = one_each.withColumn("_item", F.get("_listed", F.get("_found", F.lit(0))["at"]))
+    no_item = F.when(F.size("_found") == 0, ID_MISSING).when(F.size("_found") > 1, ID_TWICE)
     problem = F.when(refused, F.lit("refusal")).otherwise(F.coalesce("_pack_error", no_item))
     checked = check_items(matched, "_item", problem, max_benefits)
     status = (

@@ -66,13 +66,18 @@ def labelled_sample(
     labels: DataFrame,
     model_labels: DataFrame,
     min_coverage: float = rules.MIN_LABEL_COVERAGE,
+    source: str | None = None,
 ) -> DataFrame:
-    """The sample with a theme per row, from labels if they cover enough of it, else from the model.
+    """The sample with a theme per row, from "labels" or from the "model"; left out, from labels if they cover enough.
 
     With labels, weights become stratum size / labelled rows, so a stratum keeps its full weight when
     some of its rows have no valid label.
     """
-    if labels.count() >= min_coverage * sample.count():
+    if source is None:
+        source = "labels" if labels.count() >= min_coverage * sample.count() else "model"
+    if source not in ("labels", "model"):
+        raise ValueError(f"unknown source {source!r}")
+    if source == "labels":
         rows = sample.join(labels.drop("model"), "complaint_id")
         per_stratum = rows.groupBy("issuer", "quarter").agg(F.count(F.lit(1)).alias("_labelled"))
         return (

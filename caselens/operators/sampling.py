@@ -154,7 +154,7 @@ def request_blocks(rows: DataFrame, max_chars: int | None = None, row_id: str =
     """Each row's block of a request: id, block text and whether the narrative was cut."""
     text, cut = prepared_text(F.col("narrative"), max_chars)
     block = F.concat(
-        F.lit('<complaint id="'), F.col(row_id).cast("string"), F.lit('">\n'), text, F.lit("\n</complaint>")
+        F.lit('<complaint id="'), F.coalesce(F.col(row_id).cast("string"), F.lit("")), F.lit('">\n'), text, F.lit("\n</complaint>")
     )
     return rows.select(row_id, block.alias("block"), cut.alias("cut"))
 
@@ -171,8 +171,8 @@ def request_packs(
 
     Packs are numbered over all rows without a global sort. A pack is one group of at most pack_size.
     """
-    # Ids alone are ranked; the texts join them afterwards.
-    ranked = shuffled_rank(rows.select(row_id), row_id, seed).join(request_blocks(rows, max_chars, row_id), row_id)
+    # Rows are ranked, not ids: equal ids and null ones are rows like all others.
+    ranked = shuffled_rank(request_blocks(rows, max_chars, row_id), row_id, seed)
     item = F.struct("rank", row_id, "block", "cut")
     packs = (
         ranked.groupBy(F.floor((F.col("rank") - 1) / pack_size).cast("bigint").alias("pack_id"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from caselens.plans import oracle_benchmark, oracle_labels, oracle_model
+from caselens.plans import oracle_benchmark, oracle_labels, oracle_model, oracle_written
 
-SQL: dict[str, str] = {**oracle_benchmark.SQL, **oracle_labels.SQL, **oracle_model.SQL}
+SQL: dict[str, str] = {**oracle_benchmark.SQL, **oracle_labels.SQL, **oracle_model.SQL, **oracle_written.SQL}

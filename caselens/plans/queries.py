@@ -199,6 +199,22 @@ def file_counts(t: Tables) -> DataFrame:
     return exports.file_counts(t.mapped().withColumn("date_received", F.col("date_received").cast("string")))
 
 
+# --- written and read back ----------------------------------------------------------------
+@query
+def ledger_round_trip(t: Tables) -> DataFrame:
+    return as_text(labels.current_labels(t.ledger_written(), standin.PROMPT_VERSION), "named_benefits")
+
+
+@query
+def ordered_result(t: Tables) -> DataFrame:
+    return t.trend_written()
+
+
+@query
+def stored_views(t: Tables) -> DataFrame:
+    return t.views_written()
+
+
 # --- sampling ----------------------------------------------------------------------------
 @query
 def stratified_sample(t: Tables) -> DataFrame:
@@ -291,6 +307,12 @@ def cost_projection(t: Tables) -> DataFrame:
     )
 
 
+@query
+def cost_full_sample(t: Tables) -> DataFrame:
+    per_row = costs.measured_cost(t.request_ledger(), t.prices(), standin.PROMPT_VERSION)
+    return costs.full_sample_cost(t.sample, per_row)
+
+
 @query
 def ledger_status(t: Tables) -> DataFrame:
     return costs.ledger_status(t.request_ledger())
@@ -561,6 +583,17 @@ def facts_label_run(t: Tables) -> DataFrame:
     return findings.facts_label_run(t.request_ledger(), "model_0")
 
 
+@query
+def facts_label_totals(t: Tables) -> DataFrame:
+    return findings.facts_label_totals(t.sample, t.labelled, t.request_ledger(), t.prices())
+
+
+@query
+def chart_issue_matrix(t: Tables) -> DataFrame:
+    heat = findings.chart_issue_heat(benchmark.issue_mix(t.complaints, ISSUERS), top=standin.HEAT_TOP)
+    return findings.issue_matrix(heat, ISSUERS)
+
+
 @query
 def chart_extremes(t: Tables) -> DataFrame:
     return findings.chart_extremes(_mix(t), standin.FOCUS, standin.EXTREMES_FLOOR)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from caselens.functions import rules
 from caselens.functions.exprs import as_col, lookup
+from caselens.functions.frames import scratch_path
 
 EXPORT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in rules.EXPORT_COLUMNS])
 
@@ -80,12 +81,6 @@ def unclean_rows(raw: DataFrame) -> DataFrame:
     return raw.groupBy("source_file").agg(bad_rows()).filter(F.col("bad_rows") > 0)
 
 
-def assert_clean(raw: DataFrame) -> DataFrame:
-    """The same rows, or an error if any export fails the gate."""
-    raise_if_unclean(unclean_rows(raw))
-    return raw
-
-
 def is_card(product: Column | str = "product", sub_product: Column | str = "sub_product") -> Column:
     """True for credit card complaints, before and after the product was renamed; never null."""
     product, sub_product = as_col(product), as_col(sub_product)
@@ -107,6 +102,28 @@ def file_counts(raw: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+# --- one parse per export ----------------------------------------------------------------
+STAGED_ALWAYS = ["source_file", "product", "sub_product", "complaint_id", "date_received"]
+
+
+def staged(raw: DataFrame, path: str) -> DataFrame:
+    """The exports parsed once into Parquet at `path`, from which gate, counts and rows are read.
+
+    Rows that are no card complaints keep only what gate and counts need. A path written before is replaced.
+    """
+    only_cards = [c for c in raw.columns if c not in STAGED_ALWAYS]
+    narrow = raw.withColumns({c: F.when(is_card(), F.col(c)) for c in only_cards})
+    narrow.write.mode("overwrite").parquet(path)
+    return raw.sparkSession.read.schema(narrow.schema).parquet(path)
+
+
+def gated_counts(rows: DataFrame) -> DataFrame:
+    """Counts per export of staged rows, or an error that names the unclean exports."""
+    counts = file_counts(rows, bad_rows())
+    raise_if_unclean(counts)
+    return counts.drop("bad_rows")
+
+
 # --- typed rows --------------------------------------------------------------------------
 def clean_rows(raw: DataFrame, start: str = rules.EXPORT_START) -> DataFrame:
     """Typed card complaints from the start date on; blank narratives become null."""
@@ -155,5 +172,7 @@ def ingest(
     paths: str | Sequence[str],
     start: str = rules.EXPORT_START,
 ) -> DataFrame:
-    """Exports to one clean row per card complaint, all companies."""
-    return dedupe_latest(clean_rows(assert_clean(read_exports(spark, paths)), start))
+    """Exports to one clean row per card complaint, all companies. Each export is parsed once."""
+    rows = staged(read_exports(spark, paths), scratch_path(spark, "staged-exports"))
+    gated_counts(rows)
+    return dedupe_latest(clean_rows(rows, start))

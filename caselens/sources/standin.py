@@ -18,11 +18,23 @@ from caselens.functions import rules
 from caselens.functions.exprs import lookup
 from caselens.functions.frames import keep, shared_folder
 from caselens.operators import benchmark, events
+from caselens.operators.label_parse import parse_packs
 from caselens.operators.labels import current_labels, labelled_sample
 from caselens.operators.sampling import eligible_narratives, stratified_sample
 from caselens.operators.textmodel import Terms, given_theme_model, idf_weights, ordered_terms, predict_themes, vocabulary
 from caselens.sources.exports import CARD_COLUMNS, ingest, is_card, restrict_to_issuers
-from caselens.sources.tables import PRICE_SCHEMA, complaint_view, purchase_volume, with_calendar
+from caselens.sources.tables import (
+    PRICE_SCHEMA,
+    append_ledger,
+    complaint_view,
+    purchase_volume,
+    read_ledger,
+    read_result,
+    register_views,
+    with_calendar,
+    write_by_year,
+    write_result,
+)
 from caselens.streaming.incremental import ingested_cards, process_new_files
 
 ISSUERS = {f"NATION_{i}": f"Issuer {letter}" for i, letter in enumerate("ABCDEFG")}
@@ -43,6 +55,7 @@ EVENTS = [
 CONTROLS = ["Issuer C", "Issuer D", "Issuer E", "Issuer F", "Issuer G"]
 MIN_FOCUS = 10
 EXTREMES_FLOOR = 10
+HEAT_TOP = 3  # fewer than there are issues
 CAPS = {"Issuer A": 8, "Issuer B": 6}
 DEFAULT_CAP = 3
 REVIEW_ROWS = 60
@@ -54,6 +67,7 @@ GIVEN_STOP_WORDS = ["the", "of", "and"]
 RARE_LABEL = "rare"  # given to the first documents, too few to be split into folds
 RARE_ROWS = 3
 PROMPT_VERSION = "v1"
+LATER = 10**9  # added to the place of an attempt made after all others
 PRICES = [
     # model, input, output, cache_read, min cacheable tokens, thinks, provider, write multiplier, batch
     ("model_0", 2.0, 10.0, 0.2, 512, True, "provider_a", 2.0, True),
@@ -214,6 +228,41 @@ class Tables:
             process_new_files(self.spark, self.exports_folder, parts, checkpoint, START)
         return ingested_cards(self.spark, parts)
 
+    # --- written and read back ---------------------------------------------------------------
+    def ledger_written(self) -> DataFrame:
+        """Parsed packs appended to a ledger in two runs, the second one twice, as after a lost driver."""
+        path = self._place("ledger")
+        attempts = parse_packs(self.raw_packs()).withColumn("seq", F.col("complaint_id"))
+        again = attempts.filter(F.col("complaint_id") % 2 == 0).withColumns(
+            {"seq": F.col("seq") + LATER, "sentiment": F.when(F.col("status") == "ok", "neutral_or_mixed")}
+        )
+        for run, records in (("first", attempts), ("second", again), ("second", again)):
+            append_ledger(records, path, run)
+        return read_ledger(self.spark, path)
+
+    def trend_written(self) -> DataFrame:
+        """The monthly trend written in order and read back with its positions."""
+        path = self._place("trend")
+        trend = benchmark.monthly_trend(self.complaints, self.cards, BASE_YEAR).select("issuer", "month", "complaints")
+        write_result(trend, path, ["issuer", "month"])
+        return read_result(self.spark, path, "issuer string, month date, complaints bigint", ["issuer", "month"])
+
+    def views_written(self) -> DataFrame:
+        """Parquet sinks and a CSV file read through the SQL views."""
+        cards, complaints, volume = self._place("cards"), self._place("complaints"), self._place("volume")
+        write_by_year(self._kept_cards, cards)
+        restrict_to_issuers(self._kept_cards, ISSUERS).write.parquet(complaints)
+        missing = {c: F.lit(None).cast("string") for c in ("source_title", "source_url", "quote", "notes")}
+        columns = ["issuer", "fiscal_year", "metric", "value", "scope_label", *missing]
+        self.denominators().withColumns(missing).select(*columns).write.csv(volume, header=True)
+        register_views(self.spark, complaints, cards, volume)
+        return self.spark.sql(
+            """SELECT c.issuer, c.year, c.complaints, a.cards, v.purchase_volume
+               FROM (SELECT issuer, year, count(*) AS complaints FROM complaints GROUP BY ALL) c
+               JOIN (SELECT year, count(*) AS cards FROM cards_all GROUP BY ALL) a USING (year)
+               LEFT JOIN purchase_volume v USING (issuer, year)"""
+        )
+
     # --- reference dimension ---------------------------------------------------------------
     def denominators(self) -> DataFrame:
         issuer = lookup(F.col("n_name"), ISSUERS, default=F.col("n_name"))

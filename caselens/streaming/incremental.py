@@ -1,21 +1,52 @@
-"""Incremental ingest: every run picks up only exports it has not seen."""
+"""Incremental ingest: every run picks up only exports it has not seen, and rewrites only the buckets they touch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caselens.functions import rules
+from caselens.functions.frames import read_if_there
 from caselens.sources.exports import (
+    CARD_COLUMNS,
     CSV_OPTIONS,
     EXPORT_SCHEMA,
-    bad_rows,
     clean_rows,
     dedupe_latest,
-    file_counts,
+    gated_counts,
     named_columns,
-    raise_if_unclean,
+    staged,
 )
 
+IDS_PER_BUCKET = 1_000_000
+_TYPES = {"complaint_id": T.LongType(), "date_received": T.DateType(), "date_sent_to_company": T.DateType()}
+ROWS_SCHEMA = T.StructType([T.StructField(c, _TYPES.get(c, T.StringType())) for c in CARD_COLUMNS] + [T.StructField("bucket", T.LongType())])
+COUNTS_SCHEMA = "source_file string, rows_total bigint, rows_card bigint, min_date_received string, max_date_received string"
+
+
+def merge_rows(new: DataFrame, rows: str, work: str) -> None:
+    """Merges clean rows into the table at `rows`, one row per complaint, the newest export's.
+
+    Buckets are ranges of ids, which are given out in order: a new export touches those of recent complaints and of
+    the few it repeats. What the touched buckets will hold is written whole under `work` first, and a marker after
+    it; then they are overwritten, all others keep their files. A batch that is replayed after the marker only
+    repeats the last step, so a driver lost between two buckets loses no row.
+    """
+    spark = new.sparkSession
+    done = f"{work}/done"
+    if read_if_there(spark, done, "id bigint").isEmpty():
+        new = new.withColumn("bucket", F.floor(F.col("complaint_id") / IDS_PER_BUCKET))
+        # One number per million ids.
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        before = read_if_there(spark, rows, ROWS_SCHEMA).filter(F.col("bucket").isin(touched))
+        merged = dedupe_latest(before.unionByName(new.select(*ROWS_SCHEMA.names)))
+        merged.write.mode("overwrite").parquet(f"{work}/merged")
+        spark.range(1).write.mode("overwrite").parquet(done)
+    # The rebalance splits a bucket that holds most of the rows.
+    merged = spark.read.schema(ROWS_SCHEMA).parquet(f"{work}/merged").hint("rebalance", "bucket")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(rows)
+
 
 def process_new_files(
     spark: SparkSession,
@@ -24,19 +55,17 @@ def process_new_files(
     checkpoint: str,
     start: str = rules.EXPORT_START,
 ) -> None:
-    """Clean rows of the new exports into `parts`; the checkpoint is the list of exports done.
+    """Merges the new exports into `parts`; the checkpoint is the list of exports done.
 
-    Each micro-batch overwrites its own folder, so a batch that is replayed after a lost executor or
-    driver leaves the same rows. An unclean export stops the run before any of the batch is written.
+    Each export is parsed once, into staged rows that gate, counts and merge read. Every step of a micro-batch may
+    be repeated: staged rows and counts replace those of the same batch, and merging the same rows again changes
+    nothing. An unclean export stops the run before any of the batch is published.
     """
 
     def one_batch(raw: DataFrame, batch_id: int) -> None:
-        # Gate and counts share one scan; its result, a row per export, is held for the write.
-        counts = file_counts(raw, bad_rows()).persist()
-        raise_if_unclean(counts)
-        counts.drop("bad_rows").write.mode("overwrite").parquet(f"{parts}/counts/batch={batch_id}")
-        counts.unpersist()
-        clean_rows(raw, start).write.mode("overwrite").parquet(f"{parts}/rows/batch={batch_id}")
+        rows = staged(raw, f"{parts}/work/batch={batch_id}/staged")
+        gated_counts(rows).write.mode("overwrite").parquet(f"{parts}/counts/batch={batch_id}")
+        merge_rows(clean_rows(rows, start), f"{parts}/rows", f"{parts}/work/batch={batch_id}")
 
     stream = named_columns(spark.readStream.schema(EXPORT_SCHEMA).options(**CSV_OPTIONS).csv(incoming))
     query = (
@@ -49,9 +78,10 @@ def process_new_files(
 
 
 def ingested_counts(spark: SparkSession, parts: str) -> DataFrame:
-    return spark.read.parquet(f"{parts}/counts").drop("batch")
+    """Counts per export ingested so far; no rows before the first."""
+    return read_if_there(spark, f"{parts}/counts", COUNTS_SCHEMA)
 
 
 def ingested_cards(spark: SparkSession, parts: str) -> DataFrame:
-    """All parts together, one row per complaint from its newest export."""
-    return dedupe_latest(spark.read.parquet(f"{parts}/rows").drop("batch"))
+    """One row per complaint from its newest export; no rows before the first. Nothing is de-duplicated on reading."""
+    return read_if_there(spark, f"{parts}/rows", ROWS_SCHEMA).drop("bucket")

@@ -136,7 +136,54 @@ def test_incremental_ingest_stops_on_an_unclean_export(spark, tmp_path):
     write_export(incoming, "Export_4_a.csv", [row("x1")])
     with pytest.raises(Exception, match="id or date check failed"):
         incremental.process_new_files(spark, str(incoming), str(tmp_path / "parts"), str(tmp_path / "c"))
-    assert not (tmp_path / "parts" / "rows").exists()
+    assert not (tmp_path / "parts" / "rows").exists() and not (tmp_path / "parts" / "counts").exists()
+
+
+def test_nothing_ingested_is_no_rows(spark, tmp_path):
+    cards, counts = incremental.ingested_cards(spark, str(tmp_path / "p")), incremental.ingested_counts(spark, str(tmp_path / "p"))
+    assert cards.collect() == counts.collect() == [] and cards.columns == exports.CARD_COLUMNS
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    incoming, parts = tmp_path / "in", tmp_path / "parts"
+    incoming.mkdir()
+    run = lambda: incremental.process_new_files(spark, str(incoming), str(parts), str(tmp_path / "checkpoint"))
+    files = lambda k: sorted(p.name for p in (parts / "rows" / f"bucket={k}").glob("*.parquet"))
+    million = incremental.IDS_PER_BUCKET
+    write_export(incoming, "Export_4_a.csv", [row(5, narrative="old"), row(million + 1), row(2 * million)])
+    run()
+    before = {k: files(k) for k in range(3)}
+    write_export(incoming, "Export_5_b.csv", [row(million + 1, narrative="newer"), row(million + 2)])
+    run()
+    assert files(0) == before[0] and files(2) == before[2] and files(1) != before[1]
+    got = {r.complaint_id: r.narrative for r in incremental.ingested_cards(spark, str(parts)).collect()}
+    assert got == {5: "old", million + 1: "newer", million + 2: None, 2 * million: None}
+    assert "Window" not in incremental.ingested_cards(spark, str(parts))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_replayed_merge_changes_nothing(spark, tmp_path):
+    rows, work = str(tmp_path / "rows"), str(tmp_path / "work")
+    path = write_export(tmp_path, "Export_4_a.csv", [row(1, narrative="a"), row(2)])
+    first = exports.clean_rows(exports.read_exports(spark, path))
+    read = lambda: sorted((r.complaint_id, r.narrative) for r in spark.read.parquet(rows).collect())
+    incremental.merge_rows(first, rows, f"{work}/0")
+    again = exports.clean_rows(exports.read_exports(spark, write_export(tmp_path, "Export_5_b.csv", [row(1, narrative="b")])))
+    incremental.merge_rows(again, rows, f"{work}/1")
+    incremental.merge_rows(again, rows, f"{work}/1")  # after its marker: only the last step
+    incremental.merge_rows(again, rows, f"{work}/2")  # before it: merged once more
+    assert read() == [(1, "b"), (2, None)]
+
+
+def test_each_export_is_parsed_once(spark, tmp_path):
+    path = write_export(tmp_path, "Export_4_a.csv", [row(1), row(2, product="Mortgage", narrative="not kept"), row(3)])
+    out = exports.ingest(spark, path)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Scan csv" not in text and text.count("FileScan parquet") == 1
+    (tmp_path / "Export_4_a.csv").unlink()
+    assert sorted(r.complaint_id for r in out.collect()) == [1, 3]
+    raw = exports.read_exports(spark, write_export(tmp_path, "Export_5_b.csv", [row(1), row(2, product="Mortgage", narrative="not kept")]))
+    kept = exports.staged(raw, str(tmp_path / "staged"))
+    assert exports.gated_counts(kept).first().rows_total == 2 and kept.filter("narrative IS NOT NULL").count() == 0
 
 
 def test_views_and_denominators(spark, tmp_path):
@@ -164,14 +211,35 @@ def test_ledger_round_trip(spark, tmp_path):
     path = str(tmp_path / "ledger")
     assert tables.read_ledger(spark, path).count() == 0
     first = spark.createDataFrame([(1, 10, "ok", ["a"])], "seq bigint, complaint_id bigint, status string, named_benefits array<string>")
-    tables.append_ledger(first, path)
-    tables.append_ledger(first.withColumn("seq", F.lit(2).cast("bigint")), path)
+    second = first.withColumn("seq", F.lit(2).cast("bigint"))
+    for run, records in (("one", first), ("two", second), ("two", second), ("one", first)):
+        tables.append_ledger(records, path, run)
     got = tables.read_ledger(spark, path)
     assert got.columns == list(tables.LEDGER_TYPES)
     assert sorted((r.seq, r.complaint_id, r.named_benefits, r.error) for r in got.collect()) == [(1, 10, ["a"], None), (2, 10, ["a"], None)]
-
-
-def test_write_result(spark, tmp_path):
-    tables.write_result(spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "k string, v int"), str(tmp_path / "out"), ["k"])
+    tables.append_ledger(second, path)
+    tables.append_ledger(second, path)
+    assert tables.read_ledger(spark, path).count() == 4
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_ordered_results_are_checked_on_reading(spark, tmp_path, fmt):
+    rows = [("b", 1), (None, 2), ("a", 3), ("a", None), ("a", 3)] + [(f"c{k:03d}", k) for k in range(200)]
+    path = str(tmp_path / "out")
+    tables.write_result(spark.createDataFrame(rows, "k string, v bigint").repartition(5), path, ["k", "v"], fmt)
+    back = tables.read_result(spark, path, "k string, v bigint", ["k", "v"], fmt).orderBy("position").collect()
+    last = lambda x: (x is None, x)
+    assert [(r.k, r.v) for r in back] == sorted(rows, key=lambda r: (last(r[0]), last(r[1])))
+    assert [r.position for r in back] == list(range(1, len(rows) + 1))
+    with pytest.raises(tables.UnorderedResult):
+        tables.read_result(spark, path, "k string, v bigint", ["v"], fmt)
+    for spoilt in (F.col("position") + (F.col("position") > 3).cast("int"), F.least("position", F.lit(7)).cast("bigint")):
+        spark.createDataFrame(back).withColumn("position", spoilt).write.mode("overwrite").parquet(f"{path}2")
+        with pytest.raises(tables.UnorderedResult):
+            tables.read_result(spark, f"{path}2", "k string, v bigint", ["k", "v"], "parquet")
+
+
+def test_unordered_result(spark, tmp_path):
+    tables.write_result(spark.createDataFrame([("b", 1), (None, 2)], "k string, v int"), str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), header=True).collect()
-    assert [(r.k, r.v) for r in back] == [("a", "3"), ("b", "1"), (None, "2")]
+    assert sorted((r.k or "", r.v) for r in back) == [("", "2"), ("b", "1")]

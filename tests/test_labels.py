@@ -201,3 +201,39 @@ def test_a_ledger_holds_together_in_any_row_order(spark, tmp_path):
         tables.append_ledger(unordered, f"{tmp_path}/ledger9")
     with pytest.raises(Exception, match="no seq"):
         tables.append_ledger(unordered.withColumn("seq", F.lit(None).cast("long")), f"{tmp_path}/ledger9")
+
+
+def test_packs_match_items_by_id_at_any_size(spark):
+    import json
+
+    from caselens.operators import label_parse
+
+    n = 3000
+    item = lambda i, **more: {"id": f" {i} ", "primary_theme": "billing", "sentiment": "negative"} | more
+    items = [item(i) for i in range(n) if i % 5] + [item(7), "no object", {"primary_theme": "billing"}, item(9, id=None), item(n + 1)]
+    asked = [*range(n), 11, 11, None]
+    schema = (
+        "pack_id string, model string, prompt_version string, mode string, ids array<long>, truncated_ids array<long>, "
+        "raw string, stop_reason string, input_tokens double, output_tokens double, cache_read_tokens double, cache_write_tokens double"
+    )
+    pack = ("p", "m", "v1", "batch", asked, [], json.dumps({"results": items}), "end", 1.0, 1.0, 0.0, 0.0)
+    got = label_parse.parse_packs(spark.createDataFrame([pack, ("q", *pack[1:4], None, *pack[5:])], schema)).collect()
+    assert len(got) == n + 3
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r.complaint_id, []).append((r.status, r.error))
+    assert by_id[7] == [("parse_error", label_parse.ID_TWICE)] and by_id[10] == by_id[None] == [("missing_in_response", label_parse.ID_MISSING)]
+    assert by_id[11] == [("ok", None)] * 3 and by_id[12] == [("ok", None)]
+    assert sum(v[0][0] == "ok" for v in by_id.values()) == sum(1 for i in range(n) if i % 5) - 1
+
+
+def test_label_source_may_be_named(spark):
+    from caselens.operators import labels
+
+    sample = spark.createDataFrame([(1, "A", "q", 2, 1.0), (2, "A", "q", 2, 1.0)], "complaint_id bigint, issuer string, quarter string, stratum_size bigint, weight double")
+    own = spark.createDataFrame([(1, "m", "billing")], "complaint_id bigint, model string, primary_theme string")
+    model = spark.createDataFrame([(1, "other", "x"), (2, "other", "x")], "complaint_id bigint, primary_theme string, label_source string")
+    assert [r.primary_theme for r in labels.labelled_sample(sample, own, model, source="labels").collect()] == ["billing"]
+    assert labels.labelled_sample(sample, own, model, source="model").count() == 2
+    with pytest.raises(ValueError):
+        labels.labelled_sample(sample, own, model, source="any")

@@ -110,3 +110,14 @@ def test_keyword_seeds_take_single_matches_up_to_the_cap(spark):
     got = sorted((r.complaint_id, r.theme) for r in sampling.keyword_seeds(df, cap=4).collect())
     want = sorted(sorted(range(9), key=lambda i: key(7, i))[:4])
     assert got == [(i, "annual_fee") for i in want]
+
+
+def test_packs_hold_every_row_once_with_repeated_and_null_ids(spark):
+    rows = [(1, "first"), (1, "second"), (1, "second"), (None, "no id"), (2, "two"), (None, None)]
+    df = spark.createDataFrame(rows, "complaint_id bigint, narrative string")
+    packs = sampling.request_packs(df, pack_size=4).collect()
+    assert sorted(len(p.ids) for p in packs) == [2, 4]
+    ids = [i for p in packs for i in p.ids]
+    assert sorted(ids, key=str) == sorted([r[0] for r in rows], key=str)
+    text = "\n".join(p.text for p in packs)
+    assert [text.count(x) for x in ("first", "second", "no id", "two")] == [1, 2, 1, 1]
