@@ -203,7 +203,9 @@ def vocabulary(docs: DataFrame, min_df: int = MIN_DF, max_features: int | None =
     )
     runs = docs.select(made_once(F.sort_array("terms"), lambda s: made_once(starts(s), lambda at: lengths(s, at))).alias("runs"))
     counted = runs.select(F.inline("runs")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    out = numbered(counted.filter(F.col("df") >= min_df), [F.desc("total"), F.asc("term")], "index", "vocabulary")
+    # The range sort reads its input twice: what it reads is written first, without the rare terms.
+    frequent = keep(counted.filter(F.col("df") >= min_df), "term-counts")
+    out = numbered(frequent, [F.desc("total"), F.asc("term")], "index", "vocabulary")
     return out if max_features is None else out.filter(F.col("index") < max_features)
 
 
@@ -237,7 +239,8 @@ def counted_frame(
     """
     stage = Terms(inputCol=text, outputCol="terms", stopWords=_stop(stop_words))
     place = lookup(F.col(label), {c: str(i) for i, c in enumerate(classes)}).cast("double")
-    docs = keep(stage.transform(train.select(text, place.alias("label"), *also)).drop(text), "terms")
+    # The terms are worked out twice, for the vocabulary and for the counts: stored, they take several times the texts.
+    docs = stage.transform(train.select(text, place.alias("label"), *also)).drop(text)
     table = keep(vocabulary(docs, min_df, max_features), "model-vocabulary")
     counter = vectoriser(table)
     terms, df = ordered_terms(table)

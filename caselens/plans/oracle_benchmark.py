@@ -268,6 +268,7 @@ QUALIFY row_number() OVER (PARTITION BY complaint_id
   ORDER BY CAST(regexp_extract(source_file, '([0-9]+)_', 1) AS INT) DESC, source_file DESC) = 1""",
     ),
     "ingest_exports": over(CARDS, body="SELECT * EXCLUDE (month, year, quarter) FROM cards"),
+    "ingest_in_blocks": over(CARDS, body="SELECT * EXCLUDE (month, year, quarter) FROM cards"),
     "incremental_ingest": over(CARDS, body="SELECT * EXCLUDE (month, year, quarter) FROM cards"),
     "card_filter": over(
         CARDS,

@@ -175,6 +175,11 @@ def ingest_exports(t: Tables) -> DataFrame:
     return t.ingested()
 
 
+@query
+def ingest_in_blocks(t: Tables) -> DataFrame:
+    return t.ingested_in_blocks()
+
+
 @query
 def incremental_ingest(t: Tables) -> DataFrame:
     return t.ingested_incrementally()
@@ -479,7 +484,7 @@ def theme_model_share(t: Tables) -> DataFrame:
 
 @query
 def model_vocabulary(t: Tables) -> DataFrame:
-    return textmodel.vocabulary(t.document_terms, max_features=None)
+    return textmodel.vocabulary(t.document_terms(), max_features=None)
 
 
 @query

@@ -22,7 +22,8 @@ from caselens.operators.label_parse import parse_packs
 from caselens.operators.labels import current_labels, labelled_sample
 from caselens.operators.sampling import eligible_narratives, stratified_sample
 from caselens.operators.textmodel import Terms, given_theme_model, idf_weights, ordered_terms, predict_themes, vocabulary
-from caselens.sources.exports import CARD_COLUMNS, ingest, is_card, restrict_to_issuers
+from caselens.sources.csv_blocks import read_split_exports
+from caselens.sources.exports import CARD_COLUMNS, clean_rows, dedupe_latest, ingest, is_card, restrict_to_issuers
 from caselens.sources.tables import (
     PRICE_SCHEMA,
     append_ledger,
@@ -222,6 +223,10 @@ class Tables:
     def ingested(self) -> DataFrame:
         return ingest(self.spark, self.exports_folder, START)
 
+    def ingested_in_blocks(self) -> DataFrame:
+        """The same exports read by several tasks per file."""
+        return dedupe_latest(clean_rows(read_split_exports(self.spark, self.exports_folder), START))
+
     def ingested_incrementally(self) -> DataFrame:
         parts, checkpoint = self._place("parts"), self._place("parts-checkpoint")
         for _ in range(2):  # the second run finds nothing new
@@ -323,19 +328,18 @@ class Tables:
         label = F.when(F.col("doc_id") < RARE_ROWS, RARE_LABEL).otherwise(F.col("lang"))
         return self.read("documents").select("doc_id", "text", label.alias("label"))
 
-    @cached_property
     def document_terms(self) -> DataFrame:
         stage = Terms(inputCol="text", outputCol="terms", stopWords=GIVEN_STOP_WORDS)
-        return keep(stage.transform(self.labelled_documents()).drop("text"), "document-terms")
+        return stage.transform(self.labelled_documents()).drop("text")
 
     @cached_property
     def given_model(self) -> PipelineModel:
         """Coefficients by rule, over the commonest terms of the documents and their idf."""
-        terms, df = ordered_terms(vocabulary(self.document_terms, max_features=GIVEN_TERMS))
+        terms, df = ordered_terms(vocabulary(self.document_terms(), max_features=GIVEN_TERMS))
         place, k = np.arange(len(terms)), np.arange(len(GIVEN_CLASSES))[:, None]
         coefficients = ((place * (2 * k + 3) + k) % 11 - 5) / 2
         intercepts = (np.arange(len(GIVEN_CLASSES)) - 1.5) / 4
-        idf = idf_weights(df, self.document_terms.count())
+        idf = idf_weights(df, self.read("documents").count())
         return given_theme_model(self.spark, "text", GIVEN_CLASSES, terms, idf, coefficients, intercepts, GIVEN_STOP_WORDS)
 
     @cached_property
