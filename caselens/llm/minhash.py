@@ -5,10 +5,11 @@ words. Documents that share a band are candidates; the packed bits estimate thei
 half of all unequal minima whose bits agree by chance; those not clearly below the threshold are confirmed on
 their full shingle sets.
 
-Groups of copies never meet pair by pair. Equal sets are one class with one representative. Of the classes in a
-band, each is first compared with one centre only, another one in every band and round; confirmed links join them
-to components; then, in bands that still hold several components, classes of different components are compared.
-So no link between different sets is lost that could join two components.
+Groups of copies never meet pair by pair. Equal sets are one class with one representative. The classes of a band
+first meet one centre each round: the class that shares bands with most others, then the one of the next component.
+Confirmed links join them to components. When a round links hardly anything more, classes of different components
+that share a band are compared. What keeps those few are two bounds on the size of the symmetric difference that
+lose no link: the sizes, and a parity bitmap of each set, whose unequal bits are at most as many as unequal shingles.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +34,7 @@ PERCENT = 85  # similarity from which documents are linked, in percent
 MINIMA = 256
 MISSED = 1e-4  # chance at most of missing a link exactly at the threshold
 PACKED = MINIMA // 64
-STAR_ROUNDS = 3
+LITTLE = 20  # rounds go on while at least one in so many of the pairs confirmed in a round is a link
 
 
 def band_rows(percent: int) -> int:
@@ -133,26 +134,64 @@ def _sketches(docs: DataFrame, row_id: str, text: str, shingle: int, rows: int)
     return arrow_map(docs.select(F.col(row_id).cast("bigint"), text, F.xxhash64(row_id, text).alias("row")), run, schema)
 
 
-def _sets(docs: DataFrame, row_id: str, text: str, shingle: int) -> DataFrame:
-    """The full shingle sets: id and sorted hashes."""
-    schema = T.StructType([T.StructField("id", docs.schema[row_id].dataType), T.StructField("shingles", T.ArrayType(T.LongType()))])
+def parities(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set as 64-bit words, and each one's first word (one entry more than sets).
+
+    Every shingle flips one bit of a width that is a power of two and at least twice the set's size. So two bitmaps
+    of equal width differ in at most as many bits as shingles are in one set only, and a bitmap's halves laid over
+    each other are the bitmap of half the width.
+    """
+    sizes = np.diff(first)
+    wide = 64 << np.ceil(np.log2(np.maximum(sizes / 32, 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(wide)])
+    place = (sets >> np.uint64(20)).astype(np.int64) & np.repeat(wide - 1, sizes)
+    flips = np.bincount(place + np.repeat(begin[:-1], sizes), minlength=begin[-1]) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64), begin // 64
+
+
+def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """The full shingle sets of (id, text): id, sorted hashes and parity bitmap."""
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", longs), T.StructField("parity", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 sets, first = shingle_sets(part.column(text), shingle)
-                lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=schema.names)
-
-    return arrow_map(docs.select(row_id, text), run, schema)
+                bitmaps, begin = parities(sets, first)
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+                    for at, values in ((first, sets.view(np.int64)), (begin, bitmaps))
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=schema.names)
+
+    return arrow_map(docs.select("id", text), run, schema)
+
+
+def _unequal(a: str, b: str) -> Column:
+    """How many bits differ in two bitmaps, the wider folded once; 0 where that does not make them equally wide."""
+    apart = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), add)
+    half = lambda c, n: F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda p, q: p.bitwiseXOR(q))
+    x, y = F.col(a), F.col(b)
+    return (
+        F.when(F.size(x) == F.size(y), apart(x, y))
+        .when(F.size(x) == 2 * F.size(y), apart(half(x, F.size(y)), y))
+        .when(F.size(y) == 2 * F.size(x), apart(half(y, F.size(x)), x))
+        .otherwise(0)
+    )
 
 
 def _likely(percent: int) -> Column:
-    """Whether sizes and packed bits of sides a and b allow a link."""
+    """Whether sizes, packed bits and parity bitmaps of sides a and b allow a link."""
     unequal = reduce(add, [F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in _BITS])
     estimate = 1 - 2 * unequal / F.lit(float(MINIMA))
     small, big = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (100 * small >= percent * big) & (estimate >= percent / 100 - margin(percent))
+    either = F.col("a.n_shingles") + F.col("b.n_shingles")
+    return (
+        (100 * small >= percent * big)
+        & (estimate >= percent / 100 - margin(percent))
+        & ((100 + percent) * _unequal("a.parity", "b.parity") <= (100 - percent) * either)
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -165,67 +204,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _placed(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Members (band, id) with their component so far."""
+def _placed(members: DataFrame, wanted: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Members (band, id) with their number of neighbours and their component so far."""
     if parts is None:
-        return members.select("band", "id", F.col("id").alias("component"))
-    return members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-
-
-def near_duplicates(
-    docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
-) -> DataFrame:
-    """row_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept, per row.
-
-    `row` is a 64-bit hash of id and text, by which a result row can be joined to its input row.
+        labels = wanted.withColumn("component", F.col("id"))
+    else:
+        labels = wanted.join(parts, "id", "left").select("id", "near", F.coalesce("component", "id").alias("component"))
+    return members.join(labels, "id").select("band", "id", "near", "component")
 
-    Documents are linked when the Jaccard similarity of their sets of distinct shingles of `shingle` words (A-Z as a-z; a
-    shorter text is one shingle) is at least `percent`. Null, empty and blank texts have no shingle and are
-    linked with nothing. Ids are integers. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
-    id and text count as one document and get equal results; an id that repeats with other texts has a result for
-    each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of at most 1e-4 (4e-5 at 85%).
-    """
-    sketch = stored(_sketches(docs, row_id, text, shingle, band_rows(percent)), "sketches")
-    light = sketch.select("id", "row", "n_shingles", "h1", "h2")
-    linked = light.filter((F.col("n_shingles") > 0) & F.col("id").isNotNull())
-    classes = stored(linked.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = sketch.join(
-        classes.select(F.col("rep").alias("id"), "h1", "h2"), ["id", "h1", "h2"], "left_semi"
-    ).dropDuplicates(["id"])
-    reps = stored(reps.select("id", "n_shingles", *_BITS, "bands"), "representatives")
-    bits = reps.drop("bands")
 
-    # Bands that hold more than one class, their members, and the full sets of those.
-    rows = reps.select("id", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("id").alias("c1"), F.max("id").alias("c2")).filter("c1 < c2")
-    members = stored(rows.join(small_side(stored(shared.select("band"), "bands")), "band", "left_semi"), "band-members")
-    wanted = stored(members.select("id").distinct(), "wanted")
-    texts = docs.select(F.col(row_id).cast("bigint").alias("id"), text).join(small_side(wanted), "id", "left_semi")
-    sets = stored(_sets(texts, "id", text, shingle), "shingles")
-    sketched = bits.join(small_side(wanted), "id", "left_semi")
-
-    # Rounds of stars, each band about a centre of its own, among classes not yet in one component.
+def _links(members: DataFrame, wanted: DataFrame, sketched: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of every class linked to another that shares a band."""
     links = parts = None
-    for turn in range(STAR_ROUNDS):
-        placed = _placed(members, parts)
-        flip = F.xxhash64("band", F.lit(turn))
-        centre = placed.groupBy("band").agg(
-            F.min(F.col("id").bitwiseXOR(flip)).alias("c"), F.min("component").alias("c1"), F.max("component").alias("c2")
-        )
-        centre = centre.filter("c1 < c2").select("band", F.col("c").bitwiseXOR(flip).alias("centre"))
-        ends = placed.join(small_side(stored(centre, "centres")), "band").filter("id <> centre")
-        label = _placed(ends.select("band", F.col("centre").alias("id")).distinct(), parts)
-        label = label.select("band", F.col("component").alias("other"))
-        pairs = ends.join(label, "band").filter("component <> other") if turn else ends
-        pairs = pairs.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
+    turn = 0
+    while True:
+        # A star in each band: its component of rank `turn` by neighbours, through the class that has most of them.
+        placed = _placed(members, wanted, parts)
+        tops = placed.groupBy("band", "component").agg(F.max(F.struct("near", "id")).alias("top"))
+        order = Window.partitionBy("band").orderBy(F.desc("top"))
+        ranked = tops.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= turn + 1)
+        centre = ranked.filter(F.col("rank") == turn + 1).select("band", F.col("top.id").alias("centre"), F.col("component").alias("its"))
+        ends = placed.join(small_side(stored(centre, "centres")), "band").filter("component <> its")
+        pairs = ends.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y")).distinct()
         both = pairs.join(sketched.alias("a"), F.col("x") == F.col("a.id")).join(sketched.alias("b"), F.col("y") == F.col("b.id"))
         pairs = stored(both.filter(_likely(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")), "star-pairs")
         found = stored(_confirmed(pairs, sets, percent), "star-links")
         links = found if links is None else links.unionByName(found)
         parts = components(links, "parts")
+        turn += 1
+        if LITTLE * found.count() <= pairs.count():
+            break
 
     # Whatever could still join two components.
-    placed = _placed(members, parts)
+    placed = _placed(members, wanted, parts)
     mixed = placed.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 < c2")
     open_rows = placed.join(small_side(stored(mixed.select("band"), "mixed")), "band", "left_semi").join(sketched, "id")
     open_rows = stored(open_rows, "open-rows")
@@ -236,11 +247,48 @@ def near_duplicates(
         .distinct()
     )
     more = _confirmed(stored(across, "cross-pairs"), sets, percent)
-    final = components(links.unionByName(more), "components")
+    return components(links.unionByName(more), "components")
 
-    named = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "h1", "h2", F.coalesce("component", "rep").alias("component_id")
-    )
+
+def near_duplicates(
+    docs: DataFrame, percent: int = PERCENT, row_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+) -> DataFrame:
+    """row_id, n_shingles, component_id (smallest id reachable over links, itself included) and kept, per row.
+
+    `row` is a 64-bit hash of id and text, by which a result row can be joined to its input row.
+
+    Documents are linked when the Jaccard similarity of their sets of distinct shingles of `shingle` words (A-Z as a-z; a
+    shorter text is one shingle) is at least `percent`. Null, empty and blank texts have no shingle and are
+    linked with nothing. Ids are integers. Rows with a null id are linked with nothing, have no component and are kept. Rows equal in
+    id and text count as one document and get equal results; an id that repeats with other texts has a result for
+    each. Other columns are not read. Shingles are compared by 64-bit hashes; a link at the threshold is missed with a chance of at most 1e-4 (4e-5 at 85%).
+    """
+    sketch = stored(_sketches(docs, row_id, text, shingle, band_rows(percent)), "sketches")
+    light = sketch.select("id", "row", "n_shingles", "h1", "h2")
+    some = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    linked = light.filter(some)
+
+    # One row per set: its rows have the same sketch. A class is named by the smallest `row` in it.
+    same = [F.first(c).alias(c) for c in ("n_shingles", *_BITS, "bands")]
+    classes = sketch.filter(some).groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.min("id").alias("least"), *same)
+    classes = stored(classes, "classes")
+
+    # Bands that hold more than one class, their members, and the full sets of those.
+    rows = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
+    shared = stored(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "bands")
+    members = stored(rows.join(small_side(shared), "band"), "band-members")
+    wanted = stored(members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("near")), "wanted")
+    few = small_side(wanted.select("id"))
+    texts = docs.select(F.xxhash64(F.col(row_id), F.col(text)).alias("id"), text).join(few, "id", "left_semi")
+    sets = stored(_sets(texts.dropDuplicates(["id"]), text, shingle), "shingles")
+    bits = classes.select(F.col("rep").alias("id"), "n_shingles", *_BITS).join(few, "id", "left_semi")
+    sketched = stored(bits.join(sets.select("id", "parity"), "id"), "wanted-sketches")
+    final = _links(members.select("band", "id"), wanted, sketched, sets, percent)
+
+    # The smallest id of a component, from its classes.
+    named = classes.select(F.col("rep").alias("id"), "h1", "h2", "least").join(final, "id", "left")
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("first"))
+    named = named.join(least, "component", "left").select("h1", "h2", F.coalesce("first", "least").alias("component_id"))
     joined = linked.join(named, ["h1", "h2"]).select("id", "row", "n_shingles", "component_id")
     alone = light.filter((F.col("n_shingles") == 0) | F.col("id").isNull()).select(
         "id", "row", "n_shingles", F.col("id").alias("component_id")

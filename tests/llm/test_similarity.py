@@ -50,6 +50,56 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(0, 0, True), (5, 5, True), (5, 5, True), (6, 6, True)]
 
 
+def test_an_id_with_two_texts_has_a_result_for_each(spark):
+    rnd = random.Random(3)
+    one, two = prose(rnd, 200, 5000), prose(rnd, 200, 5000)
+    docs = documents(spark, [one, two, one + " x", two + " y", two + " z"], [5, 5, 6, 7, 9])
+    rows = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (9, 5, False)]
+
+
+def test_a_large_group_around_the_threshold(spark):
+    """Copies of three texts with few and many words left out, some linked only through others, beside brute force."""
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(3):
+        words = [f"w{rnd.randrange(300)}" for _ in range(140)]
+        for _ in range(150):
+            share = rnd.uniform(0.005, 0.09)
+            texts.append(" ".join(w for w in words if rnd.random() >= share))
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    want = classes(range(len(sets)), links)
+    assert 20 < len(set(want.values())) < 400
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, texts)).collect()}
+    assert got == want
+
+
+def test_parity_bitmaps_bound_the_unequal_shingles(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 31, 32, 33, 40, 400, 1000, 1100, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[: n - n // 9], rng.integers(0, 1 << 63, n // 7, dtype=np.uint64)]))]
+    bitmaps, begin = minhash.parities(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    rows = [(k, bitmaps[begin[k] : begin[k + 1]].tolist()) for k in range(len(sets))]
+    assert all(64 * len(w) >= 2 * len(s) and len(w) & (len(w) - 1) == 0 for s, (_, w) in zip(sets, rows, strict=True))
+    df = spark.createDataFrame(rows, "k int, parity array<long>")
+    both = df.alias("a").join(df.alias("b"), F.col("a.k") <= F.col("b.k"))
+    found = both.select(F.col("a.k").alias("i"), F.col("b.k").alias("j"), minhash._unequal("a.parity", "b.parity").alias("n")).collect()
+    tight = 0
+    for r in found:
+        apart = len(np.setxor1d(sets[r.i], sets[r.j]))
+        assert r.n <= apart and (r.i != r.j or r.n == 0)
+        if r.i // 2 == r.j // 2 and r.i != r.j and len(sets[r.i]) >= 400:  # in small sets chance may cancel more
+            tight += 1
+            assert r.n >= 0.7 * apart
+    assert tight == 4
+
+
 def test_pipeline_stage_links_on_five_words_and_80_percent(spark):
     import corpus_pipeline
 
