@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from caselens.functions import rules
 from caselens.functions.exprs import as_col, lookup
-from caselens.functions.frames import scratch_path
+from caselens.functions.frames import BROADCAST_ROWS, keep, scratch_path
 
 EXPORT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in rules.EXPORT_COLUMNS])
 
@@ -113,7 +113,7 @@ def staged(raw: DataFrame, path: str) -> DataFrame:
     """
     only_cards = [c for c in raw.columns if c not in STAGED_ALWAYS]
     narrow = raw.withColumns({c: F.when(is_card(), F.col(c)) for c in only_cards})
-    narrow.write.mode("overwrite").parquet(path)
+    narrow.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return raw.sparkSession.read.schema(narrow.schema).parquet(path)
 
 
@@ -155,6 +155,21 @@ def dedupe_latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n")
 
 
+def dedupe_stored(rows: DataFrame, max_ids: int = BROADCAST_ROWS) -> DataFrame:
+    """`dedupe_latest` of rows that are stored, so cheap to read twice: only rows of repeated ids are shuffled.
+
+    Beyond `max_ids` repeated ids all rows are.
+    """
+    ids = rows.groupBy(F.col("complaint_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    repeated = keep(ids.filter("_rows > 1").select("_id"), "repeated-ids")
+    if repeated.limit(max_ids + 1).count() > max_ids:
+        return dedupe_latest(rows)
+    # Rows without an id are rows of one id, as in the window.
+    same = F.col("complaint_id").eqNullSafe(F.col("_id"))
+    once = rows.join(F.broadcast(repeated), same, "left_anti")
+    return once.unionByName(dedupe_latest(rows.join(F.broadcast(repeated), same, "left_semi")))
+
+
 def issuer_of(company: Column | str, issuers: dict[str, str] = rules.ISSUER_BY_COMPANY) -> Column:
     """Issuer of an exact company string (spaces around it ignored); null for any other company."""
     return lookup(F.trim(as_col(company)), issuers)
@@ -175,4 +190,4 @@ def ingest(
     """Exports to one clean row per card complaint, all companies. Each export is parsed once."""
     rows = staged(read_exports(spark, paths), scratch_path(spark, "staged-exports"))
     gated_counts(rows)
-    return dedupe_latest(clean_rows(rows, start))
+    return dedupe_stored(clean_rows(rows, start))

@@ -243,3 +243,16 @@ def test_unordered_result(spark, tmp_path):
     tables.write_result(spark.createDataFrame([("b", 1), (None, 2)], "k string, v int"), str(tmp_path / "out"))
     back = spark.read.csv(str(tmp_path / "out"), header=True).collect()
     assert sorted((r.k or "", r.v) for r in back) == [("", "2"), ("b", "1")]
+
+
+@pytest.mark.parametrize("max_ids", [0, 100])
+def test_dedupe_of_stored_rows_shuffles_only_repeated_ids(spark, max_ids):
+    names = exports.CARD_COLUMNS
+    cells = {"complaint_id": lambda i: None if i > 37 else i % 30, "source_file": lambda i: f"Export_{i % 11}_a.csv"}
+    rows = [tuple(cells.get(n, lambda i, n=n: f"{n}{i}")(i) for n in names) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'bigint' if n == 'complaint_id' else 'string'}" for n in names))
+    got = exports.dedupe_stored(df, max_ids)
+    assert sorted(map(str, got.collect())) == sorted(map(str, exports.dedupe_latest(df).collect()))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftAnti" in text) == (max_ids > 0)
+    assert got.count() == 31
