@@ -53,6 +53,16 @@ def test_accents_of_every_script_and_marks_after_letters(spark):
     assert counts[0] == Counter({"cafe": 4, "cafe cafe": 3})
 
 
+def test_vocabulary_works_the_terms_out_once(spark, monkeypatch):
+    plans, keep = [], textmodel.keep
+    monkeypatch.setattr(textmodel, "keep", lambda df, name: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df, name))[1])
+    df = spark.createDataFrame([("b a b a b",), ("aa bb aa bb",), ("",), (None,), ("bb",)], "t string").repartition(2)
+    docs = textmodel.Terms(inputCol="t", outputCol="terms").transform(df)
+    rows = textmodel.vocabulary(docs, 1, None).collect()
+    assert {(r.term, r.df, r.total) for r in rows} == {("aa", 1, 2), ("bb", 2, 3), ("aa bb", 1, 2), ("bb aa", 1, 1)}
+    assert plans[0].count("regexp_extract_all") == 1
+
+
 def test_vocabulary_is_numbered_by_total_and_term_at_any_size(spark):
     texts = [" ".join(f"w{(i * k) % 97:02d}" for k in range(1, 40)) for i in range(60)] + ["w01 " * 30]
     df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
