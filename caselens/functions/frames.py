@@ -48,7 +48,7 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str, fm
         return spark.createDataFrame([], schema)
 
 
-def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, even_files: bool = False, compression: str | None = None) -> DataFrame:
     """Write the frame once to the shared folder and read it back, so lineage ends there.
 
     `even_files` spends a shuffle to write files of like size, for wide tables that are read often and
@@ -56,7 +56,7 @@ def keep(df: DataFrame, name: str, even_files: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.hint("rebalance") if even_files else df).write.parquet(path)
+    (df.hint("rebalance") if even_files else df).write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

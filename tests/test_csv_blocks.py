@@ -43,6 +43,32 @@ def test_a_cell_longer_than_many_blocks(spark, tmp_path, small_blocks):
     assert got == {"1": None, "2": long, "3": None}
 
 
+def test_no_line_within_a_chunk_is_shuffled(spark, tmp_path):
+    rows = [row(i, narrative=f"first {i}\n" + "a line of this text\n" * 40 + f'and "{i}"') for i in range(2000)]
+    path = write_export(tmp_path, "Export_4_x.csv", rows)
+    chunks = csv_blocks._chunks(csv_blocks._lines(spark, path))
+    pieces = csv_blocks.records(chunks, csv_blocks._opened(chunks))
+    crossing = pieces.filter("text LIKE '%first%'").count(), chunks.count()
+    assert crossing[0] == 2000 and 1 < crossing[1] < 20
+    plan = csv_blocks.read_split_exports(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    # One window, over the pieces that cross a chunk's ends; before, one over all lines of a block.
+    assert plan.count("Window [") == 1
+
+
+def test_compressed_exports_are_split_as_well(spark, tmp_path, small_blocks):
+    import bz2
+
+    rnd = random.Random(2)
+    body = [row(i, narrative="".join(rnd.choices('ab"\n ,é', k=600))) for i in range(4000)]
+    path = write_export(tmp_path, "Export_4_x.csv", body)
+    packed = tmp_path / "Export_5_x.csv.bz2"
+    packed.write_bytes(bz2.compress(open(path, "rb").read(), 1))
+    plain = csv_blocks.read_split_exports(spark, path).drop("source_file")
+    got = csv_blocks.read_split_exports(spark, str(packed))
+    assert csv_blocks._lines(spark, str(packed)).select("block").distinct().count() > 3
+    assert rows_of(got.drop("source_file")) == rows_of(plain) and got.count() == 4000
+
+
 def test_other_line_ends_and_headers(spark, tmp_path):
     path = write_export(tmp_path, "Export_4_x.csv", [row(1, narrative="a\nb"), row(2)])
     text = open(path, encoding="utf-8").read().replace("\n", "\r\n")
