@@ -222,3 +222,52 @@ def test_block_keys_hold_the_pigeonhole(spark):
     for pick in (1, 2):
         ka, kb = (fuzzy_lines.block_keys(F.col(c), 3, pick) for c in "ab")
         assert df.filter(F.size(F.array_intersect(ka, kb)) == 0).count() == 0
+
+
+def test_rows_of_tables_with_one_simhash(spark, monkeypatch):
+    rnd = random.Random(5)
+    lines = []
+    for k in range(120):
+        cells = [prose(rnd, 1, 5000) for _ in range(rnd.randrange(4, 12))]
+        lines.append(" | ".join(cells) + " |")
+        if k % 6 == 0:
+            lines.append(" | ".join([*cells[:-1], cells[-1] + "x"]) + " |")
+    rnd.shuffle(lines)
+    assert len({simhash(norm(x)) for x in lines}) < len(lines) / 4
+    sizes = []
+    stored = fuzzy_lines.stored
+    monkeypatch.setattr(fuzzy_lines, "stored", lambda df, name: sizes.append(stored(df, name).count()) or stored(df, name))
+    rows = fuzzy_lines.dedupe_lines(documents(spark, lines)).collect()
+    keys = sorted({norm(x) for x in lines})
+    sims = {n: simhash(n) for n in keys}
+    links = [
+        (a, b)
+        for x, a in enumerate(keys)
+        for b in keys[:x]
+        if (sims[a] ^ sims[b]).bit_count() <= fuzzy_lines.DISTANCE and edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9)
+    ]
+    group = classes(keys, links)
+    first = {}
+    for i, x in enumerate(lines):
+        first.setdefault(group[norm(x)], i)
+    assert {r.doc_id for r in rows if not r.dropped} == set(first.values())
+    assert max(sizes) <= 2 * len(lines)  # a row per class, not one for each bucket or pair
+
+
+def test_letter_counts_reject_no_like_lines(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = prose(rnd, rnd.randrange(1, 30), 500) + rnd.choice(["", " é | 7", " " + "e" * 300])
+        b = list(a)
+        for _ in range(int(len(a) * 0.2 * rnd.random())):
+            at = rnd.randrange(len(b))
+            b[at : at + rnd.randrange(2)] = rnd.choice(["", "z", "|", "é", "e"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "x string, y string")
+    side = lambda c: F.struct(F.length(c).alias("len"), *fuzzy_lines.letter_counts(F.col(c))).alias(f"{c}{c}")
+    df = df.select("x", "y", side("x"), side("y")).withColumn("edits", F.levenshtein("x", "y"))
+    assert df.filter(~fuzzy_lines.letters_allow("xx", "yy", F.col("edits"))).count() == 0
+    assert df.filter(~fuzzy_lines.letters_allow("xx", "yy", F.floor(F.col("edits") / 20))).count() > 0
