@@ -14,13 +14,15 @@ No table over all words or pairs goes to a task. Word counts are one grouped sum
 65,536 training tokens are called frequent; there are at most 65,536, so their counts may go to every task. Each
 document's distinct (context, word, times) entries go once to the partition of their word (of the pair, for
 frequent words), sorted and compressed, a blob for each slice of texts and partition. The partition sums up
-the counts, and gives back sums per document and per context. Counts of counts and discounts follow from these.
+the counts, and gives back sums per document and per context. A task takes several partitions in turn and adds up what
+they give back for a document. Counts of counts and discounts follow from these.
 Backoff weights are a table by context, joined to the unseen pairs of each document; those of frequent contexts
 are broadcast. The score is put together from sums.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +42,10 @@ END = np.uint64(1)  # stands for the end of a text
 NONE = np.uint32(0xFFFFFFFF)
 # Contexts are numbered by their place among the frequent words; others are their hash with the top bit set.
 NO_CONTEXT, RARE = np.uint64(1 << 62), np.uint64(1 << 63)
-TOKENS_A_PART = 2_000_000  # what a task of numpy arrays of about 200 MB can sum up
+TOKENS_A_PART = 2_000_000  # what a task of numpy arrays of about 200 MB can sum up at once
+PARTS_A_TASK = 4  # parts that a task sums up one after the other, where there are more than TASKS
+TASKS = 12
+HELD = 1_000_000  # documents whose sums a task holds from part to part, some 100 MB
 
 
 def _katz(n: list[float]) -> list[float] | None:
@@ -180,7 +185,10 @@ def _from_planes(raw: bytes, at: int, n: int, kind) -> tuple[np.ndarray, int]:
 
 
 def write_blob(keys: np.ndarray, train: np.ndarray, word: np.ndarray, context: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
-    """Entries sorted by word, with the row keys of the documents that occur in them."""
+    """Entries sorted by word, with the row keys of the documents that occur in them.
+
+    Frequent words are their place, others their hash, as contexts are: places pack far better than hashes.
+    """
     used, doc = np.unique(doc, return_inverse=True)
     step = np.diff(word, prepend=np.uint64(0))
     head = np.array([len(used), len(word)], dtype="<u4").tobytes()
@@ -220,8 +228,8 @@ def _codes(model: Unigrams, column: pa.Array) -> tuple[np.ndarray, np.ndarray, n
     return token, row, own, before
 
 
-def _entries(docs: DataFrame, model: Unigrams, parts: list[int]) -> DataFrame:
-    """(part, blob) of the entries that need counts from elsewhere: all, but for frequent words without a context."""
+def _entries(docs: DataFrame, model: Unigrams, parts: int, tasks: list[int]) -> DataFrame:
+    """(task, part, blob) of the entries that need counts from elsewhere: all, but for frequent words without a context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +240,8 @@ def _entries(docs: DataFrame, model: Unigrams, parts: list[int]) -> DataFrame:
                 if not len(token):
                     continue
                 pair = mix(token + mix(before))
-                home = (np.where(own == NONE, mix(token + np.uint64(7)), pair) % np.uint64(len(parts))).astype(np.int64)
+                home = (np.where(own == NONE, mix(token + np.uint64(7)), pair) % np.uint64(parts)).astype(np.int64)
+                token = np.where(own == NONE, token | RARE, own.astype(np.uint64))
                 order = np.lexsort((row, before, token, home))
                 token, row, before, home = token[order], row[order], before[order], home[order]
                 lead = np.ones(len(token), dtype=bool)
@@ -247,12 +256,13 @@ def _entries(docs: DataFrame, model: Unigrams, parts: list[int]) -> DataFrame:
                     write_blob(keys, train, token[a:b], before[a:b], row[a:b], times[a:b])
                     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
                 ]
+                homes = [tasks[k % len(tasks)] for k in there.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([parts[k] for k in there.tolist()], type=pa.int64()), pa.array(blobs, type=pa.binary())],
-                    names=["part", "blob"],
+                    [pa.array(homes, type=pa.int64()), pa.array(there, type=pa.int64()), pa.array(blobs, type=pa.binary())],
+                    names=["task", "part", "blob"],
                 )
 
-    return arrow_map(docs.select("text", "key", "train"), run, "part long, blob binary")
+    return arrow_map(docs.select("text", "key", "train"), run, "task long, part long, blob binary")
 
 
 _SUMS = T.StructType(
@@ -295,9 +305,8 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     count = np.add.reduceat(counted, at_word, dtype=np.int64)
     pair = np.add.reduceat(counted, at_pair, dtype=np.int64)
     del counted
-    code = model.code(word[at_word])
-    often = code != NONE
-    count[often] = model.counts[code[often]]
+    often = word[at_word] < RARE
+    count[often] = model.counts[word[at_word][often].astype(np.int64)]
     context, context_of = np.unique(context[at_pair], return_inverse=True)
     context_of = context_of.astype(np.int32)
     paired = (context != NO_CONTEXT)[context_of]
@@ -337,6 +346,31 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     yield _rows(_COUNTS, np.zeros(1), **{f"k{r}": np.array([(c == r).sum()]) for r in range(1, TOP + 2)})
 
 
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Sums per document of several parts as one row each."""
+    rows = pa.Table.from_batches(batches)
+    sums = rows.group_by(["kind", "key"]).aggregate([(f.name, "sum") for f in _SUMS.fields[2:]])
+    named = {f"{f.name}_sum": f.name for f in _SUMS.fields[2:]}
+    found = sums.rename_columns([named.get(c, c) for c in sums.column_names])
+    return found.select(rows.column_names).combine_chunks().to_batches()[0]
+
+
+def summed_parts(model: Unigrams, blobs: dict[int, list[bytes]], most: int) -> Iterator[pa.RecordBatch]:
+    """`summed` of each part. A document has one row for all of them, unless there are more than `most` documents."""
+    held: list[pa.RecordBatch] = []
+    for part in sorted(blobs):
+        for rows in summed(model, blobs[part]):
+            if rows.num_rows and rows.column(0)[0].as_py() == _DOC:
+                held.append(rows)
+                if len(held) > 1:
+                    held = [_together(held)]
+                if held[0].num_rows > most:
+                    yield held.pop()
+            else:
+                yield rows
+    yield from held
+
+
 def _local(docs: DataFrame, model: Unigrams, id_type: T.DataType) -> DataFrame:
     """What each row's score owes to the frequent words alone."""
     schema = T.StructType(
@@ -391,16 +425,21 @@ def score_texts(docs: DataFrame, held_out: Column, row_id: str = "doc_id", text:
     ).withColumn("train", ~F.col("held_out"))
     counted = stored(count_words(rows.filter("train")), "katz-words")
     model = fit_words(counted)
-    # Each document has a row of sums for each part, so there are no more parts than memory asks for.
+    # Each document has a row of sums for each task, so there are no more parts than memory asks for, several a task.
     parts = max(1, -(-model.tokens // TOKENS_A_PART))
-    keys = _part_keys(docs, parts)
+    tasks = max(-(-parts // PARTS_A_TASK), min(parts, TASKS))
+    keys = _part_keys(docs, tasks)
+
+    most = HELD
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column(1).to_pylist()]
-        if blobs:
-            yield from summed(model, blobs)
+        blobs: dict[int, list[bytes]] = defaultdict(list)
+        for batch in batches:
+            for part, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                blobs[part].append(blob)
+        yield from summed_parts(model, blobs, most)
 
-    dealt = _entries(rows, model, keys).repartition(parts, "part")
+    dealt = _entries(rows, model, parts, keys).repartition(tasks, "task")
     path = scratch(spark, "katz-sums")
     arrow_map(dealt, reduce, _SUMS).write.parquet(path)
     sums = spark.read.schema(_SUMS).parquet(path)

@@ -137,3 +137,19 @@ def test_discounts():
     assert katz.discounts([0, 100, 40, 20, 12, 8, 5])[0] == pytest.approx((0.8 - 0.3) / 0.7)
     assert katz.discounts([0, 1, 0, 0, 0, 0, 0]) == [0.5, 0.75, 5 / 6, 0.875, 0.9]
     assert all(0 < x <= 1 for x in katz.discounts([0, 60, 33, 8, 19, 3, 9]))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_katz_has_a_row_for_each_document_and_task(spark, monkeypatch, tmp_path, most):
+    rnd = random.Random(12)
+    texts = [prose(rnd, rnd.randrange(30, 80), 300) for _ in range(60)]
+    held = lambda i: i % 5 == 4
+    for name, value in {"TOKENS_A_PART": 200, "TASKS": 2, "PARTS_A_TASK": 100, "HELD": most}.items():
+        monkeypatch.setattr(katz, name, value, raising=False)
+    monkeypatch.setattr(katz, "scratch", lambda spark, name: f"file://{tmp_path}/{name}")
+    rows = katz.score_texts(documents(spark, texts), F.col("doc_id") % 5 == 4).collect()
+    for r, w in zip(sorted(rows, key=lambda r: r.doc_id), plain_katz(texts, held, range(len(texts))), strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == w[:3]
+        assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
+    sums = spark.read.parquet(f"file://{tmp_path}/katz-sums").filter(F.col("kind") == katz._DOC).count()
+    assert sums <= 2 * len(texts) if most > 20 else sums > 2 * len(texts)
