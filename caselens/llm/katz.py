@@ -22,7 +22,6 @@ are broadcast. The score is put together from sums.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselens.llm.common import arrow_map, scratch, slices, stored
+from caselens.llm.common import arrow_map, scratch, slices, small_batches, stored
 from caselens.llm.words import mix, words
 
 HOT = 65_536  # a frequent word makes up at least 1 / HOT of the tokens
@@ -45,6 +44,7 @@ NO_CONTEXT, RARE = np.uint64(1 << 62), np.uint64(1 << 63)
 TOKENS_A_PART = 2_000_000  # what a task of numpy arrays of about 200 MB can sum up at once
 PARTS_A_TASK = 4  # parts that a task sums up one after the other, where there are more than TASKS
 TASKS = 12
+ROWS_A_BATCH = 20_000  # rows of sums that go back at once, some 2 MB
 HELD = 1_000_000  # documents whose sums a task holds from part to part, some 100 MB
 
 
@@ -206,6 +206,7 @@ def read_blob(blob: bytes) -> tuple[np.ndarray, ...]:
     docs, n = np.frombuffer(raw, dtype="<u4", count=2).tolist()
     keys, at = _from_planes(raw, 8, docs, np.int64)
     train, at = _from_planes(raw, at, docs, np.uint8)
+    train = train.copy()  # a single plane is a view, which would hold the whole blob
     step, at = _from_planes(raw, at, n, np.uint64)
     context, at = _from_planes(raw, at, n, np.uint64)
     doc, at = _from_planes(raw, at, n, np.uint32)
@@ -271,6 +272,7 @@ _SUMS = T.StructType(
     + [T.StructField(x, T.LongType()) for x in ("known", *[f"k{r}" for r in range(1, TOP + 2)])]
 )
 _DOC, _CONTEXT, _EVENT, _COUNTS = range(4)
+_DOC_SUMS = ["base", "log_sum", "known", *[f"k{r}" for r in range(1, TOP + 1)]]
 
 
 def _rows(kind: int, key: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
@@ -292,9 +294,14 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         for k, a in enumerate(own):
             columns[k].append(a + np.uint32(docs) if k == 4 else a)
         docs += len(own[0])
+    own = a = None
     times, doc, context, word, train, keys = (np.concatenate(columns.pop()) for _ in range(6))
     order = np.lexsort((context, word))
-    word, context, doc, times = word[order], context[order], doc[order], times[order]
+    # One after the other, so that only one of them is held twice.
+    word = word[order]
+    context = context[order]
+    doc = doc[order]
+    times = times[order]
     del order
     new_word = np.ones(len(word), dtype=bool)
     new_word[1:] = word[1:] != word[:-1]
@@ -307,35 +314,43 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     del counted
     often = word[at_word] < RARE
     count[often] = model.counts[word[at_word][often].astype(np.int64)]
-    context, context_of = np.unique(context[at_pair], return_inverse=True)
+    context = context[at_pair]
+    context, context_of = np.unique(context, return_inverse=True)
     context_of = context_of.astype(np.int32)
     paired = (context != NO_CONTEXT)[context_of]
     log_p, p = model.log_p(count), model.p(count)
-    del word
+    del word, at_word
     word_of = np.cumsum(new_word, dtype=np.int32) - np.int32(1)
     pair_of = np.cumsum(new_pair, dtype=np.int32) - np.int32(1)
-    size = np.where(paired, pair, -1)[pair_of]  # -1: no context
+    del new_word, new_pair
+    size = np.where(paired, pair, -1)  # -1: no context
     ukeys, doc_key = np.unique(keys, return_inverse=True)
-    doc = doc_key.astype(np.int32)[doc]
+    doc = doc_key[doc]  # as wide as bincount wants it, which would copy it each time
     add = lambda weight: np.bincount(doc, weights=weight, minlength=len(ukeys))
     # Frequent words have their own part of these sums where the text is.
     base = add(np.where(often, 0.0, model.base(count))[word_of] * times)
     known = add((~often & (count > 0))[word_of] * times)
-    backed = size <= 0
-    log_sum = add(np.where(backed, log_p[word_of], np.log10(np.maximum(size, 1)) * (size > TOP)) * times)
+    of_pair = np.where(size <= 0, log_p[word_of[at_pair]], np.log10(np.maximum(size, 1)) * (size > TOP))
+    log_sum = add(of_pair[pair_of] * times)
+    del of_pair
     if model.rest:  # a word that is not frequent is a context as often as it occurs
         log_sum -= add(np.where(often, 0.0, np.log10(count + 1))[word_of] * times)
-    ones = {f"k{r}": add((size == r) * times) for r in range(1, TOP + 1)}
-    yield _rows(_DOC, ukeys, base=base, known=known, log_sum=log_sum, **ones)
-    event = size == 0
+    ones = {f"k{r}": add((size == r)[pair_of] * times) for r in range(1, TOP + 1)}
+    event = (size == 0)[pair_of]
     n = len(context)
     spot = doc[event].astype(np.int64) * n + context_of[pair_of[event]]
+    often_there = times[event]
+    word_of = word_of[at_pair]
+    # Nothing with a value for each entry is held while rows are given out.
+    del add, doc, times, size, pair_of, event, at_pair
+    yield _rows(_DOC, ukeys, base=base, known=known, log_sum=log_sum, **ones)
+    del base, known, log_sum, ones
     place, back = np.unique(spot, return_inverse=True)
-    often_there = np.bincount(back, weights=times[event], minlength=len(place))
+    often_there = np.bincount(back, weights=often_there, minlength=len(place))
     context = context.view(np.int64)
+    del spot, back
     yield _rows(_EVENT, ukeys[place // max(n, 1)], known=often_there, k1=context[place % max(n, 1)])
-    word_of = word_of[at_pair]
-    del doc, times, size, pair_of, backed, event, spot
+    del place, often_there
     seen = paired & (pair > 0)
     h, c = context_of[seen], pair[seen]
     by_h = {f"k{r}": np.bincount(h[c == r], minlength=n) for r in range(1, TOP + 1)}
@@ -348,26 +363,41 @@ def summed(model: Unigrams, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
 
 def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     """Sums per document of several parts as one row each."""
-    rows = pa.Table.from_batches(batches)
-    sums = rows.group_by(["kind", "key"]).aggregate([(f.name, "sum") for f in _SUMS.fields[2:]])
-    named = {f"{f.name}_sum": f.name for f in _SUMS.fields[2:]}
-    found = sums.rename_columns([named.get(c, c) for c in sums.column_names])
-    return found.select(rows.column_names).combine_chunks().to_batches()[0]
-
-
-def summed_parts(model: Unigrams, blobs: dict[int, list[bytes]], most: int) -> Iterator[pa.RecordBatch]:
+    key, back = np.unique(np.concatenate([b.column("key").to_numpy() for b in batches]), return_inverse=True)
+    column = lambda name: np.concatenate([b.column(name).to_numpy() for b in batches])
+    return _rows(_DOC, key, **{name: np.bincount(back, weights=column(name), minlength=len(key)) for name in _DOC_SUMS})
+
+
+def blobs_by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of one part after the other, from rows in order of their part."""
+    blobs: list[bytes] = []
+    at = None
+    for batch in batches:
+        for k, part in enumerate(batch.column(1).to_pylist()):
+            if part != at and blobs:
+                yield blobs
+                blobs = []
+            at = part
+            blobs.append(batch.column(2)[k].as_py())
+    if blobs:
+        yield blobs
+
+
+def summed_parts(model: Unigrams, parts: Iterator[list[bytes]], most: int) -> Iterator[pa.RecordBatch]:
     """`summed` of each part. A document has one row for all of them, unless there are more than `most` documents."""
     held: list[pa.RecordBatch] = []
-    for part in sorted(blobs):
-        for rows in summed(model, blobs[part]):
+    for blobs in parts:
+        for rows in summed(model, blobs):
             if rows.num_rows and rows.column(0)[0].as_py() == _DOC:
                 held.append(rows)
-                if len(held) > 1:
-                    held = [_together(held)]
-                if held[0].num_rows > most:
-                    yield held.pop()
             else:
                 yield rows
+        rows = None
+        # Put together when the part's arrays are gone.
+        if len(held) > 1:
+            held = [_together(held)]
+        if held and held[0].num_rows > most:
+            yield held.pop()
     yield from held
 
 
@@ -433,15 +463,17 @@ def score_texts(docs: DataFrame, held_out: Column, row_id: str = "doc_id", text:
     most = HELD
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for part, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                blobs[part].append(blob)
-        yield from summed_parts(model, blobs, most)
-
-    dealt = _entries(rows, model, parts, keys).repartition(tasks, "task")
+        for rows in summed_parts(model, blobs_by_part(batches), most):
+            for at in range(0, rows.num_rows, ROWS_A_BATCH):
+                yield rows.slice(at, ROWS_A_BATCH)
+        rows = None
+        pa.default_memory_pool().release_unused()  # the worker waits for other tasks
+
+    # In order of their parts and in small batches, so that a task never holds more than the blobs of one part.
+    dealt = _entries(rows, model, parts, keys).repartition(tasks, "task").sortWithinPartitions("part")
     path = scratch(spark, "katz-sums")
-    arrow_map(dealt, reduce, _SUMS).write.parquet(path)
+    with small_batches(spark):
+        arrow_map(dealt, reduce, _SUMS).write.parquet(path)
     sums = spark.read.schema(_SUMS).parquet(path)
 
     ks = [f"k{r}" for r in range(1, TOP + 1)]

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -153,3 +154,43 @@ def test_katz_has_a_row_for_each_document_and_task(spark, monkeypatch, tmp_path,
         assert r.base_score == pytest.approx(w[3], rel=1e-9) and r.score == pytest.approx(w[4], rel=1e-9)
     sums = spark.read.parquet(f"file://{tmp_path}/katz-sums").filter(F.col("kind") == katz._DOC).count()
     assert sums <= 2 * len(texts) if most > 20 else sums > 2 * len(texts)
+
+
+def test_katz_lets_go_of_entries_before_rows_are_given_out():
+    rnd = np.random.default_rng(4)
+    n, docs = 200_000, 500
+    blobs = []
+    for _ in range(4):
+        word = np.sort(rnd.integers(0, 1 << 60, n // 16, dtype=np.uint64)[rnd.integers(0, n // 16, n)] | katz.RARE)
+        context, doc = rnd.integers(0, 100, n, dtype=np.uint64), rnd.integers(0, docs, n)
+        blobs.append(katz.write_blob(np.arange(docs), np.ones(docs, dtype=bool), word, context, doc, np.ones(n, dtype=np.int64)))
+    assert katz.read_blob(blobs[0])[1].base is None  # a view would hold the whole blob
+    frequent = np.arange(1, 101, dtype=np.uint64)
+    model = katz.Unigrams(
+        4 * n, n, [0.5] * katz.TOP, 0.1, docs, frequent, np.full(100, 9), np.full(100, True), True
+    )
+    tracemalloc.start()
+    try:
+        rows = katz.summed(model, blobs)
+        assert next(rows).num_rows == docs
+        assert tracemalloc.get_traced_memory()[0] < 40 * 4 * n
+        assert tracemalloc.get_traced_memory()[1] < 80 * 4 * n
+        assert sum(r.num_rows for r in rows) > 0
+    finally:
+        tracemalloc.stop()
+
+
+def test_katz_takes_one_part_after_the_other(monkeypatch):
+    batch = lambda parts: pa.table({"task": [0] * len(parts), "part": parts, "blob": [b"%d" % p for p in parts]}).to_batches()[0]
+    assert list(katz.blobs_by_part(iter([batch([0, 0, 3]), batch([3, 4]), batch([4])]))) == [[b"0"] * 2, [b"3"] * 2, [b"4"] * 2]
+    assert list(katz.blobs_by_part(iter([]))) == []
+    left = []
+
+    def batches():
+        for p in (0, 1, 2):
+            left.append(p)
+            yield batch([p])
+
+    monkeypatch.setattr(katz, "summed", lambda model, blobs: iter([katz._rows(katz._EVENT, np.array([1, 2]))]))
+    assert next(katz.summed_parts(None, katz.blobs_by_part(batches()), 9)).num_rows == 2
+    assert left == [0, 1]  # the last part is not read yet
