@@ -48,15 +48,19 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType | str, fm
         return spark.createDataFrame([], schema)
 
 
-def keep(df: DataFrame, name: str, even_files: bool = False, compression: str | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str, even_files: bool = False, compression: str | None = None, row_group: int | None = None) -> DataFrame:
     """Write the frame once to the shared folder and read it back, so lineage ends there.
 
     `even_files` spends a shuffle to write files of like size, for wide tables that are read often and
-    come out of joins that leave a few huge partitions.
+    come out of joins that leave a few huge partitions. `row_group`, in compressed bytes, bounds what a reader of
+    long rows decodes at once.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df.hint("rebalance") if even_files else df).write.parquet(path, compression=compression)
+    writer = (df.hint("rebalance") if even_files else df).write
+    if row_group is not None:
+        writer = writer.option("parquet.block.size", row_group)
+    writer.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -81,3 +81,13 @@ def test_other_line_ends_and_headers(spark, tmp_path):
         csv_blocks.read_split_exports(spark, str(bad))
     empty = write_export(tmp_path, "Export_7_e.csv", [])
     assert csv_blocks.read_split_exports(spark, empty).collect() == []
+
+
+def test_chunks_are_bounded_in_bytes(spark, tmp_path):
+    rows = [row(i, narrative="\n".join(["w" * 900] * 20), company='a "b"') for i in range(200)] + [row(200, narrative="v" * 1_000_000)]
+    path = write_export(tmp_path, "Export_4_x.csv", rows)
+    chunks = csv_blocks._chunks(csv_blocks._lines(spark, path))
+    sizes = [r.n for r in chunks.selectExpr("octet_length(text) AS n").collect()]
+    assert len(sizes) > 10 and sum(n > 2 * csv_blocks.CHUNK for n in sizes) == 1
+    got = csv_blocks.read_split_exports(spark, path)
+    assert rows_of(got) == rows_of(exports.read_exports(spark, path))
