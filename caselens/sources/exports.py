@@ -158,11 +158,14 @@ def dedupe_latest(rows: DataFrame) -> DataFrame:
 def dedupe_stored(rows: DataFrame, max_ids: int = BROADCAST_ROWS) -> DataFrame:
     """`dedupe_latest` of rows that are stored, so cheap to read twice: only rows of repeated ids are shuffled.
 
-    Beyond `max_ids` repeated ids all rows are.
+    Beyond `max_ids` repeated ids all rows are. Without any the rows are returned as they are.
     """
     ids = rows.groupBy(F.col("complaint_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
     repeated = keep(ids.filter("_rows > 1").select("_id"), "repeated-ids")
-    if repeated.limit(max_ids + 1).count() > max_ids:
+    found = repeated.limit(max_ids + 1).count()
+    if not found:
+        return rows
+    if found > max_ids:
         return dedupe_latest(rows)
     # Rows without an id are rows of one id, as in the window.
     same = F.col("complaint_id").eqNullSafe(F.col("_id"))

@@ -13,7 +13,7 @@ from caselens.sources.exports import (
     CSV_OPTIONS,
     EXPORT_SCHEMA,
     clean_rows,
-    dedupe_latest,
+    dedupe_stored,
     gated_counts,
     named_columns,
     staged,
@@ -29,23 +29,24 @@ def merge_rows(new: DataFrame, rows: str, work: str) -> None:
     """Merges clean rows into the table at `rows`, one row per complaint, the newest export's.
 
     Buckets are ranges of ids, which are given out in order: a new export touches those of recent complaints and of
-    the few it repeats. What the touched buckets will hold is written whole under `work` first, and a marker after
-    it; then they are overwritten, all others keep their files. A batch that is replayed after the marker only
-    repeats the last step, so a driver lost between two buckets loses no row.
+    the few it repeats. What the touched buckets held is written whole under `work` first, and a marker after it;
+    then they are overwritten from that and the new rows, all others keep their files. A batch that is replayed after
+    the marker, with the same new rows, only repeats the last step, so a driver lost between two buckets loses no
+    row. Rows are written by the tasks that read them: only those of repeated ids are shuffled, and none is copied twice.
     """
     spark = new.sparkSession
+    new = new.withColumn("bucket", F.floor(F.col("complaint_id") / IDS_PER_BUCKET)).select(*ROWS_SCHEMA.names)
     done = f"{work}/done"
     if read_if_there(spark, done, "id bigint").isEmpty():
-        new = new.withColumn("bucket", F.floor(F.col("complaint_id") / IDS_PER_BUCKET))
         # One number per million ids.
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]
         before = read_if_there(spark, rows, ROWS_SCHEMA).filter(F.col("bucket").isin(touched))
-        merged = dedupe_latest(before.unionByName(new.select(*ROWS_SCHEMA.names)))
-        merged.write.mode("overwrite").parquet(f"{work}/merged")
+        before.write.mode("overwrite").option("compression", "zstd").parquet(f"{work}/before")
         spark.range(1).write.mode("overwrite").parquet(done)
-    # The rebalance splits a bucket that holds most of the rows.
-    merged = spark.read.schema(ROWS_SCHEMA).parquet(f"{work}/merged").hint("rebalance", "bucket")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(rows)
+    before = spark.read.schema(ROWS_SCHEMA).parquet(f"{work}/before")
+    merged = dedupe_stored(before.unionByName(new))
+    out = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    out.partitionBy("bucket").parquet(rows)
 
 
 def process_new_files(
@@ -59,13 +60,16 @@ def process_new_files(
 
     Each export is parsed once, into staged rows that gate, counts and merge read. Every step of a micro-batch may
     be repeated: staged rows and counts replace those of the same batch, and merging the same rows again changes
-    nothing. An unclean export stops the run before any of the batch is published.
+    nothing. An unclean export stops the run before any of the batch is published. Once all batches of a run are
+    committed none is replayed, so what they wrote under `work` is emptied.
     """
+    ended = []
 
     def one_batch(raw: DataFrame, batch_id: int) -> None:
         rows = staged(raw, f"{parts}/work/batch={batch_id}/staged")
         gated_counts(rows).write.mode("overwrite").parquet(f"{parts}/counts/batch={batch_id}")
         merge_rows(clean_rows(rows, start), f"{parts}/rows", f"{parts}/work/batch={batch_id}")
+        ended.append(batch_id)
 
     stream = named_columns(spark.readStream.schema(EXPORT_SCHEMA).options(**CSV_OPTIONS).csv(incoming))
     query = (
@@ -75,6 +79,9 @@ def process_new_files(
         .start()
     )
     query.awaitTermination()
+    for batch_id in ended:
+        for name in ("staged", "before"):
+            spark.createDataFrame([], ROWS_SCHEMA).write.mode("overwrite").parquet(f"{parts}/work/batch={batch_id}/{name}")
 
 
 def ingested_counts(spark: SparkSession, parts: str) -> DataFrame:

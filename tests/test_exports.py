@@ -256,3 +256,38 @@ def test_dedupe_of_stored_rows_shuffles_only_repeated_ids(spark, max_ids):
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert ("LeftAnti" in text) == (max_ids > 0)
     assert got.count() == 31
+
+
+def test_merging_copies_only_the_rows_before(spark, tmp_path):
+    rows, work = str(tmp_path / "rows"), tmp_path / "work"
+    stored = lambda at: sorted(r.complaint_id for r in spark.read.schema(incremental.ROWS_SCHEMA).parquet(str(at)).collect())
+    body = [row(1, narrative="a"), row(2), row(2, narrative="twice"), row(5_000_000)]
+    first = exports.clean_rows(exports.read_exports(spark, write_export(tmp_path, "Export_4_a.csv", body)))
+    incremental.merge_rows(first, rows, f"{work}/0")
+    assert [*(p.name for p in sorted((work / "0").iterdir()))] == ["before", "done"] and stored(work / "0" / "before") == []
+    again = exports.clean_rows(exports.read_exports(spark, write_export(tmp_path, "Export_5_b.csv", [row(1, narrative="b"), row(3)])))
+    incremental.merge_rows(again, rows, f"{work}/1")
+    assert stored(work / "1" / "before") == [1, 2] and stored(rows) == [1, 2, 3, 5_000_000]
+    # A driver lost while the touched bucket was replaced: the rows before are still there.
+    for part in (tmp_path / "rows" / "bucket=0").iterdir():
+        part.unlink()
+    incremental.merge_rows(again, rows, f"{work}/1")
+    assert stored(rows) == [1, 2, 3, 5_000_000]
+    assert spark.read.parquet(rows).filter("complaint_id = 1").first().narrative == "b"
+
+
+def test_a_run_leaves_no_copies_of_its_rows(spark, tmp_path):
+    incoming = tmp_path / "in"
+    incoming.mkdir()
+    for k in (4, 5):
+        write_export(incoming, f"Export_{k}_a.csv", [row(1, narrative=f"n{k}"), row(k)])
+        incremental.process_new_files(spark, str(incoming), str(tmp_path / "parts"), str(tmp_path / "checkpoint"))
+        left = [f for f in (tmp_path / "parts" / "work").rglob("*.parquet") if f.parent.name in ("staged", "before", "merged")]
+        assert sum(spark.read.parquet(str(f)).count() for f in left) == 0
+    got = {r.complaint_id: r.narrative for r in incremental.ingested_cards(spark, str(tmp_path / "parts")).collect()}
+    assert got == {1: "n5", 4: None, 5: None} and incremental.ingested_counts(spark, str(tmp_path / "parts")).count() == 2
+
+
+def test_rows_without_repeated_ids_are_not_joined(spark, tmp_path):
+    rows = exports.clean_rows(exports.read_exports(spark, write_export(tmp_path, "Export_4_a.csv", [row(1), row(2)])))
+    assert exports.dedupe_stored(rows)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
