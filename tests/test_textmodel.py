@@ -206,15 +206,15 @@ def test_only_terms_that_a_fold_uses_are_held(spark):
     df = spark.createDataFrame(rows, "id int, fold int, t string")
     docs = textmodel.Terms(inputCol="t", outputCol="terms").transform(df).drop("t")
     every = textmodel.vocabulary(docs, 2, None).collect()
-    number = {r.term: r.index for r in every}
-    want = {r.term for r in every if r.index < 15}
+    number = {r.term: r["index"] for r in every}
+    want = {r.term for r in every if r["index"] < 15}
     for k in range(3):
         terms = [(r.id, x) for r in docs.filter(F.col("fold") != k).collect() for x in r.terms]
         total, held = Counter(x for _, x in terms), Counter(x for _, x in set(terms))
         used = [x for x in total if held[x] >= 2]
         want |= set(sorted(used, key=lambda x: (-total[x], number[x]))[:15])
     found = textmodel.folds_vocabulary(docs, 3, 2, 15).collect()
-    assert {(r.term, r.index) for r in found} == {(x, number[x]) for x in want} and 15 < len(want) < len(every)
+    assert {(r.term, r["index"]) for r in found} == {(x, number[x]) for x in want} and 15 < len(want) < len(every)
     assert textmodel.folds_vocabulary(docs, 3, 2, None).count() == len(every)
     labelled = df.withColumn("label", F.when(F.rlike("t", F.lit(r"w1\b")), "a").otherwise("b"))
     _, model = textmodel.cross_validated(labelled, "id", "t", "label", folds=3, min_df=2, max_features=15)
@@ -225,3 +225,4 @@ def test_fits_and_tasks_are_bounded():
     from caselens.operators import textmodel
 
     assert textmodel.fits_at_once(5, 4, 1000) == 5 and textmodel.fits_at_once(5, 4, 200_000) == 1
+    assert [textmodel.regression_tasks(n, 6) for n in (0, 1_000_000, 10_000_000, 40_000_000, 2_000_000_000)] == [1, 1, 5, 12, 125]
